@@ -149,3 +149,15 @@ def digest(*cols) -> "F.Column":
     of 2^-128 for each pair.
     """
     return F.unhex(F.md5(*cols))
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows over at least as many partitions as there are cores.
+
+    For maps that are heavy on each row: a table in fewer files than cores is
+    hashed apart by ``by``; any larger one stays as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores, F.xxhash64(*by))
