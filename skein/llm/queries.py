@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, packing
-from skein.runtime import table
+from skein.llm import bpe, packing, residue
+from skein.runtime import spread, table
+
+
+def _texts(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", *more, "text"), "doc_id", "text")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return bpe.encode(_texts(spark, sf_dir), "doc_id", "text")
 
 
 def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and tokens by language."""
-    documents = table(spark, sf_dir, "documents").select(F.struct("doc_id", "lang").alias("doc"), "text")
+    documents = _texts(spark, sf_dir, "lang").select(F.struct("doc_id", "lang").alias("doc"), "text")
     return bpe.token_totals(bpe.token_counts(documents, "doc", "text").select("doc.lang", "n_tokens"), "lang")
 
 
@@ -26,7 +30,7 @@ def _packed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     plans = {str(r["container_kind"]): [r["capacity_tokens"]] for r in rows}
     if rows:
         plans["joint"] = [r["capacity_tokens"] for r in rows]
-    sizes = bpe.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    sizes = bpe.token_counts(_texts(spark, sf_dir), "doc_id", "text")
     return packing.pack(sizes, "doc_id", "n_tokens", plans), containers
 
 
@@ -47,11 +51,28 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir)[0])
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(_texts(spark, sf_dir), "doc_id", "text")
+
+
+def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source, before and after such ones are left out."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source")
+    found = p10_found(spark, sf_dir).withColumn("flagged", F.lit(True))
+    return (
+        documents.join(found, "doc_id", "left")
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("flagged").isNull()).alias("n_kept"))
+    )
+
+
 QUERIES = {
     "p8_ids": p8_ids,
     "p8_totals": p8_totals,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_clean": p10_clean,
 }
 
 SQL: dict[str, str] = {}
