@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import records
+from skein.plans import graphs, records
 
-_MODULES = (records,)
+_MODULES = (records, graphs)
 
 FLAGSHIP = records.p3_found
 
