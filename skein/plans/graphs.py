@@ -396,8 +396,9 @@ _WEIGHT = f"round({_case('kind', vocabulary.KIND_WEIGHTS, 1.0)} * {_case(chr(99)
 
 
 @query(f"""
-, m AS (SELECT id, repo_id AS module FROM n WHERE repo_id IS NOT NULL),
-x AS (SELECT a.module AS from_module, b.module AS to_module, conf, {_WEIGHT} AS w FROM (SELECT *, coalesce(confidence, 'confirmed') AS conf FROM e) e
+, m AS MATERIALIZED (SELECT id, repo_id AS module FROM n WHERE repo_id IS NOT NULL),
+y AS MATERIALIZED (SELECT source, target, kind, coalesce(confidence, 'confirmed') AS conf FROM e),
+x AS (SELECT a.module AS from_module, b.module AS to_module, conf, {_WEIGHT} AS w FROM y e
       JOIN m a ON a.id = e.source JOIN m b ON b.id = e.target WHERE a.module <> b.module AND kind NOT IN ({_names(vocabulary.LAYOUT_EXCLUDED_EDGES)})),
 l AS (SELECT from_module, to_module, conf, count(*) AS c, sum(w) AS w FROM x GROUP BY ALL)
 SELECT from_module, to_module, sum(c)::BIGINT AS n_edges, sum(w)::BIGINT / 10000 AS weight,
