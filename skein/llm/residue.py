@@ -53,7 +53,7 @@ SLOT = regex.compile(
 #: Marks that prose about code may hold as well.
 WEAK_SLOT = regex.compile(
     r"(?<![\w$#{%])\{(?:\d+|[A-Za-z_]\w*)\}(?![\w}])|"
-    rf"(?<![\w<`])<(?!/?(?i:{_HTML})\b)[A-Za-z][A-Za-z0-9_-]{{1,40}}>(?![\w>])|"
+    rf"(?<![\w<`])<(?!/?(?:{_HTML})\b)(?!(?:HTML|HEAD|BODY|BR|HR|P|DIV|TABLE|TR|TD)>)[A-Za-z][A-Za-z0-9_-]{{1,40}}>(?![\w>])|"
     r"(?<![\w/.:])__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__(?![\w/(]|\.\w)|(?<!\w)_{3,}(?!\w)"
 )
 
@@ -98,7 +98,7 @@ _ERROR = regex.compile(
             rf"^\W*(?:{_CODE}:? *)?[45]\d\d\b[\s|:–—.-]*(?:{_STATUS})\b",
             rf"^\W*{_CODE}:? *[45]\d\d\b\W*(?:{_RETRY})|^\W*(?:{_CODE}:? *[45]\d\d\W*){{2,}}",
             r"^\W*\x02e\x03",
-            rf"^\W*(?:{_STATUS})\W*(?:\|.*)?$|^\W*(?:{_STATUS})\b(?= (?:ask|check|our|please|bitte|veuillez|intentelo|vuelva|reload|try|go|the server|you|we|this)\b)",
+            rf"^\W*(?:{_STATUS})\W*(?:\|.*)?$|^\W*(?:{_STATUS})\b(?=\W+(?:ask|check|our|please|bitte|veuillez|intentelo|vuelva|reload|retry|try|wait|go|the server|you|we|this|request|reference|[\w-]+\.\w+ did)\b)",
             r"^\W*access (?:was |is |has been )?denied\W*$|\baccess denied\b(?=\W+(?:you|to view|please|ask|sign))|\b(?:you )?(?:do not|don't) have permission\b|\bnot (?:authori[sz]ed|allowed) to (?:view|access|see|read)\b",
             r"\byou must be (?:signed|logged) in\b|\b(?:sign|log) in (?:again )?to (?:continue|read|view|see|access)\b|\bsession (?:has )?(?:expired|timed out)\b|\bforgot (?:your )?password\b|\bplease (?:sign|log) in\b",
             r"\bpage (?:not found|you (?:asked|are looking|requested|were looking)|could not be found|does not exist|doesn't exist|has moved|cannot be displayed|can't be displayed)|\bhas moved or never existed\b|\b(?:can't|cannot|couldn't|could not) find (?:that|the|this) page\b",
@@ -128,7 +128,7 @@ _ERROR_WEAK = regex.compile(
             rf"^\W*(?:{_RETRY})",
             r"^\W*(?:request id|reference|codigo|code d'erreur|fehlercode)\W",
             r"^\W*sign in\W*$|^\W*log ?in\W*$|^\W*password\W*$|^\W*anmelden\W*$",
-            r"\b(?:access denied|session has expired|timed out)\b",
+            r"^\W*(?:access denied|(?:your )?session has expired|(?:the |your )?(?:request|connection|operation|gateway) timed out)\W*$",
         ]
     )
 )
@@ -229,7 +229,7 @@ def _latin(words: list[str]) -> bool:
 
 
 class _Unit:
-    __slots__ = ("text", "folded", "tokens", "key", "values", "strong", "weak", "defaults", "code", "chrome")
+    __slots__ = ("text", "folded", "tokens", "key", "values", "strong", "weak", "defaults", "code", "chrome", "stutter")
 
 
 def _mask(text: str) -> tuple[str, list[str], list[bool]]:
@@ -264,6 +264,7 @@ def _units(text: str) -> list[_Unit]:
         unit.tokens, unit.values = [], []
         unit.strong, unit.weak, unit.defaults = [], [], []
         unit.code = bool(_CODE_LINE.search(raw))
+        unit.stutter = False
         for token in _TOKEN.findall(raw):
             at = len(unit.values)
             if token[0] == "\x02":
@@ -285,6 +286,8 @@ def _units(text: str) -> list[_Unit]:
                     unit.tokens.append("\x02")
                 else:
                     unit.tokens.append(word)
+                    if len(word) > 3 and unit.tokens[-3:] == [word] * 3 and word.isalpha():
+                        unit.stutter = True  # one word three times over
         if unit.code and "<noscript" not in raw.lower():
             unit.folded, unit.chrome = "", False  # tells of code, whatever else
         else:
@@ -314,7 +317,7 @@ def inspect(text: str, first_words: int = 400) -> tuple[bool, list[tuple[str, in
     doubts: list[tuple[str, int, int]] = []
     flagged = False
     for unit in units:
-        if unit.strong:
+        if unit.strong or unit.stutter:
             flagged = True
         for i in unit.weak:
             doubts.append(("weak", unit.key, i))
