@@ -43,15 +43,24 @@ def scan(spark: SparkSession, root: str, roots: list[str] | None = None, extensi
     A file's root is the longest of ``roots`` (relative; '' is the folder
     itself) that leads to it. Text that is no UTF-8 has replacement characters.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
-        .load(root)
-    )
     base = os.path.abspath(root).rstrip("/")
-    path = F.substring_index(F.col("path"), f"{base}/", -1)
-    files = raw.select(path.alias("path"), "content", "length").where(~ignored(F.col("path"), exclude))
+    # Spark's own listing hides names that begin with an underscore, __init__.py
+    # among them; so the paths are listed here and the files read in tasks.
+    names = []
+    for folder, folders, inside in os.walk(base):
+        folders[:] = sorted(f for f in folders if f not in IGNORED_FOLDERS)
+        names += [os.path.relpath(os.path.join(folder, n), base) for n in sorted(inside) if n.rsplit(".", 1)[-1] in extensions]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            contents = []
+            for name in batch["path"]:
+                with open(os.path.join(base, name), "rb") as f:
+                    contents.append(f.read())
+            yield batch.assign(content=contents, length=[len(c) for c in contents])
+
+    listed = spark.createDataFrame([(n,) for n in names], "path string")
+    files = listed.where(~ignored(F.col("path"), exclude)).mapInPandas(read, "path string, content binary, length bigint")
     known = sorted({r.strip("/") for r in (roots if roots is not None else detect_roots(root))} | {""}, key=len, reverse=True)
     source_root = F.coalesce(*[F.when(F.lit(not r) | F.col("path").startswith(f"{r}/"), F.lit(r)) for r in known])
     text = F.decode(F.col("content"), "UTF-8")

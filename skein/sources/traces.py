@@ -46,8 +46,11 @@ def read_spans(spark: SparkSession, path: str, source_key: str = "trace.source",
         ),
     )
 
+    def member(key: str):
+        return F.get(F.transform(F.filter(text, lambda a: a["key"] == key), lambda a: a["value"]), F.lit(0))
+
     def pick(*keys: str):
-        return F.coalesce(*[F.get(F.transform(F.filter(text, lambda a, k=k: a["key"] == k), lambda a: a["value"]), F.lit(0)) for k in keys])
+        return F.coalesce(*[member(k) for k in keys])
 
     return spans.select(
         "spanId",
