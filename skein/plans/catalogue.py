@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import graphs, records
+from skein.plans import graphs, records, reports
 
-_MODULES = (records, graphs)
+_MODULES = (records, graphs, reports)
 
 FLAGSHIP = records.p3_found
 
