@@ -13,7 +13,9 @@ by its wording is flagged, one of doubtful wording if its template repeats.
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -159,7 +161,7 @@ _CHROME = regex.compile(
 )
 
 _TOKEN = regex.compile(
-    r"\x02[a-z]\d*\x03|(?:Java|Type)Scripts?\b|[\w:./()<>-]*[\w)](?:[_/.:(]|::)[\w:./()<>-]*\w\)*|\p{Lu}\w*\p{Ll}\w*\p{Lu}\w*|\w*\d\w*|\w+|[^\w\s]"
+    r"\x02[a-z]\d*\x03|(?:Java|Type)Scripts?\b|[\w:./()<>-]*[\w)](?:[_/.:(]|::)[\w:./()<>-]*\w\)*|\w+|[^\w\s]"
 )
 _IDENTIFIER = regex.compile(r"(?:\w[_/:]\w|\w\.\w{1,4}\b.*/|\p{Ll}\p{Lu}|\(\)|^fn:)")
 _PLAIN_NAMES = regex.compile(r"^(?:Java|Type)Scripts?$")
@@ -167,7 +169,7 @@ _FENCE = regex.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", regex.DOTALL)
 _INLINE = regex.compile(r"`[^`\n]{1,300}`")
 _JSON_ERROR = regex.compile(r"^[ \t]*\{\s*\"(?:error|errors|fault|status|statusCode|code|message)\"\s*:.*\}[ \t]*$", regex.MULTILINE | regex.IGNORECASE)
 _QUOTED = regex.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“\n]{1,300}“|«[^»\n]{1,300}»|「[^」\n]{1,300}」")
-_SPLIT = regex.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\s*\n\s*|\s*…\s+")
+_SPLIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n|…\s")
 _IGNORED = regex.compile(r"[­​-‏⁠﻿]")
 _HTML_TAG = regex.compile(rf"</?(?:{_HTML})(?:\s[^<>]*)?>", regex.IGNORECASE)
 _CODE_LINE = regex.compile(r"^\s*(?:WARN|ERROR|INFO|DEBUG|TRACE)\b|^\s*(?:File \"|raise |SELECT |GET |POST |\||Traceback|\w*Error:|at \w+\()|->")
@@ -200,6 +202,11 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def _value(text: str) -> int:
+    """A slot's value, of which only matters whether others differ."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
 def _repeats(words: list[str]) -> bool:
     """Up to four words said over and over, alone or as a long run."""
     for period in range(1, 5):
@@ -405,6 +412,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Flags and doubts of documents, and this task's part of the templates."""
     columns = ["kind", "doc_id", "form", "key", "slot", "gap", "n", "lo", "hi"]
     templates: dict[tuple, list] = {}
+    places: dict[int, list[tuple[int, int]]] = {}  # a template's slots, worked out once
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=columns, dtype=object)
@@ -440,16 +448,20 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if unit.key in seen:
                     continue
                 seen.add(unit.key)
-                for slot, gap in _gaps(unit):
-                    learn((unit.key, slot, gap), _hash(unit.values[slot]))
+                slots = places.get(unit.key)
+                if slots is None:
+                    slots = places[unit.key] = list(_gaps(unit))
+                for slot, gap in slots:
+                    learn((unit.key, slot, gap), _value(unit.values[slot]))
                 for slot in {*unit.strong, *unit.weak}:
                     if (prefix := _prefix(unit, slot)) is not None:
-                        learn((prefix, _PREFIX, None), _hash(unit.values[slot]))
+                        learn((prefix, _PREFIX, None), _value(unit.values[slot]))
             for form, key, slot in doubts:
                 if form == "page":
                     learn((key, -1, None), 0)
         yield frame(rows)
         if len(templates) > _FLUSH:
+            places.clear()
             yield learned()
     yield learned()
 
