@@ -60,9 +60,9 @@ WEAK_SLOT = regex.compile(
 )
 
 _DEFAULTS = frozenset({"n/a", "null", "undefined", "none", "nil", "nan", "tba", "xxx", "default"})
-_BLANK = regex.compile(r"\w[ \t]{2,}[\w(]|(?<=\w) [.,](?:\s|$)|:\s*$")
+_BLANK = re.compile(r"\w[ \t]{2,}[\w(]|(?<=\w) [.,](?:\s|$)|:\s*$")
 
-_FILLER = regex.compile(
+_FILLER = re.compile(
     "|".join(
         [
             r"lorem ipsum",
@@ -94,7 +94,7 @@ _RETRY = (
 )
 
 #: Wording of error, sign-in and blocked pages.
-_ERROR = regex.compile(
+_ERROR = re.compile(
     "|".join(
         [
             rf"^\W*(?:{_CODE}:? *)?[45]\d\d\b[\s|:–—.-]*(?:{_STATUS})\b",
@@ -121,7 +121,7 @@ _ERROR = regex.compile(
 )
 
 #: Wording that closes or accompanies such pages, too weak to tell one alone.
-_ERROR_WEAK = regex.compile(
+_ERROR_WEAK = re.compile(
     "|".join(
         [
             rf"^\W*{_CODE}:? *[45]\d\d\b",
@@ -144,17 +144,17 @@ _PAGE = (
     r"(?:\bpage\b|\bdocument\b|\bsite\b|\bapp(?:lication)?\b|\bviewer\b|^\W*search\b|\breport\b|\bportal\b|\bview\b|\bbrowser\b|to continue|navigateur|navegador|\bansicht\b|\bseite\b|\bvista\b|\bpagina\b|ページ)"
 )
 _NOTICE_START = r"^\W*(?:<noscript>|notice:|hinweis:|aviso:|remarque ?:|avis ?:)"
-_NOTICE = regex.compile(
+_NOTICE = re.compile(
     rf"{_NOTICE_START}.*(?:{_SCRIPT}|{_NEED})|^(?=.*{_SCRIPT})(?=.*{_NEED})(?=.*{_PAGE})|"
     rf"^\W*(?:please |bitte |veuillez )?(?:enable|activate|allow|turn on|activer|activez|active|habilite|aktivieren sie)\b.*{_SCRIPT}|{_SCRIPT}.{{0,20}}有効|"
     rf"^\W*you need to .*{_SCRIPT}"
 )
-_NOSCRIPT = regex.compile(r"^\W*<noscript>|\(noscript\)\W*$")
+_NOSCRIPT = re.compile(r"^\W*<noscript>|\(noscript\)\W*$")
 
-_IN_MARKUP = regex.compile(rf"\b(?:{_STATUS})\b|{_CODE}:? *[45]\d\d\b|\b(?:error|fehler|erreur|denied|sign in|captcha)\b")
-_NUMBER = regex.compile(r"(?<!\d)(?![45]\d\d(?!\d))\d+")
+_IN_MARKUP = re.compile(rf"\b(?:{_STATUS})\b|{_CODE}:? *[45]\d\d\b|\b(?:error|fehler|erreur|denied|sign in|captcha)\b")
+_NUMBER = re.compile(r"(?<!\d)(?![45]\d\d(?!\d))\d+")
 
-_CHROME = regex.compile(
+_CHROME = re.compile(
     r"^\W*(?:menu|skip to content|home(?: *\| *[\w ]+)+|back to top|help(?: *· *\w+)+|(?:©|\(c\)).*|[\w ]+ ›.*|retry|go back|loading\W*|please enable it|"
     r"check your browser settings|use a newer browser|allow scripts and reload|turn off your blocker.*|turn it on and reload.*|go to the start page|"
     r"user name|password|your browser blocks them|request id \w+|reference:? \w+|error code:? *\d+|request \w+|(?:[\w-]+\.)+[a-z]{2,}(?: at [\d:.tz -]+)?|see how to enable \w+)\W*$"
@@ -164,7 +164,7 @@ _TOKEN = regex.compile(
     r"\x02[a-z]\d*\x03|(?:Java|Type)Scripts?\b|[\w:./()<>-]*[\w)](?:[_/.:(]|::)[\w:./()<>-]*\w\)*|\w+|[^\w\s]"
 )
 _IDENTIFIER = regex.compile(r"(?:\w[_/:]\w|\w\.\w{1,4}\b.*/|\p{Ll}\p{Lu}|\(\)|^fn:)")
-_PLAIN_NAMES = regex.compile(r"^(?:Java|Type)Scripts?$")
+_PLAIN_NAMES = re.compile(r"^(?:Java|Type)Scripts?$")
 _FENCE = regex.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", regex.DOTALL)
 _INLINE = regex.compile(r"`[^`\n]{1,300}`")
 _JSON_ERROR = regex.compile(r"^[ \t]*\{\s*\"(?:error|errors|fault|status|statusCode|code|message)\"\s*:.*\}[ \t]*$", regex.MULTILINE | regex.IGNORECASE)
@@ -172,7 +172,7 @@ _QUOTED = regex.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“\n]{1
 _SPLIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n|…\s")
 _IGNORED = regex.compile(r"[­​-‏⁠﻿]")
 _HTML_TAG = regex.compile(rf"</?(?:{_HTML})(?:\s[^<>]*)?>", regex.IGNORECASE)
-_CODE_LINE = regex.compile(r"^\s*(?:WARN|ERROR|INFO|DEBUG|TRACE)\b|^\s*(?:File \"|raise |SELECT |GET |POST |\||Traceback|\w*Error:|at \w+\()|->")
+_CODE_LINE = re.compile(r"^\s*(?:WARN|ERROR|INFO|DEBUG|TRACE)\b|^\s*(?:File \"|raise |SELECT |GET |POST |\||Traceback|\w*Error:|at \w+\()|->")
 
 
 def fold(text: str) -> str:
@@ -190,9 +190,9 @@ def _word(token: str) -> tuple[str, bool, bool]:
     return fold(token), code, code or any(c.isdigit() for c in token)
 
 
-def _folded(pattern: regex.Pattern) -> regex.Pattern:
+def _folded(pattern: re.Pattern) -> re.Pattern:
     """Folds what a pattern for folded text says, which NFKD may have split."""
-    return regex.compile("".join(c for c in unicodedata.normalize("NFKD", pattern.pattern) if not unicodedata.combining(c)))
+    return re.compile("".join(c for c in unicodedata.normalize("NFKD", pattern.pattern) if not unicodedata.combining(c)))
 
 
 _FILLER, _ERROR, _ERROR_WEAK, _NOTICE = (_folded(p) for p in (_FILLER, _ERROR, _ERROR_WEAK, _NOTICE))
@@ -224,7 +224,7 @@ def _repeats(words: list[str]) -> bool:
 
 
 #: Syllables that filler Latin is spun from; a run of words made of nothing else is filler.
-_LATIN = regex.compile(
+_LATIN = re.compile(
     r"(?:lorem|ipsum|dolor|sit|amet|con|sec|tetur|adi|pis|cing|elit|sed|do|eius|mod|tem|por|inci|di|dunt|ut|la|bore|et|magna|ali|qua|quam|enim|"
     r"minim|veni|quis|nos|trud|exer|ulla|co|labo|ris|nisi|ex|ea|com|modo|cos|sil|vi|tor|dus|rem|ur|ne|lo|ble|bus|ti|us)+"
 )
@@ -272,6 +272,7 @@ def _units(text: str) -> list[_Unit]:
         unit.strong, unit.weak, unit.defaults = [], [], []
         unit.code = bool(_CODE_LINE.search(raw))
         unit.stutter = False
+        last, run = "", 0
         for token in _TOKEN.findall(raw):
             at = len(unit.values)
             if token[0] == "\x02":
@@ -292,9 +293,13 @@ def _units(text: str) -> list[_Unit]:
                     unit.values.append(token)
                     unit.tokens.append("\x02")
                 else:
+                    if word == last:
+                        run += 1
+                        if run == 3 and len(word) > 3 and word.isalpha():
+                            unit.stutter = True  # one word three times over
+                    else:
+                        last, run = word, 1
                     unit.tokens.append(word)
-                    if len(word) > 3 and unit.tokens[-3:] == [word] * 3 and word.isalpha():
-                        unit.stutter = True  # one word three times over
         if unit.code and "<noscript" not in raw.lower():
             unit.folded, unit.chrome = "", False  # tells of code, whatever else
         else:
