@@ -154,6 +154,27 @@ _NOSCRIPT = re.compile(r"^\W*<noscript>|\(noscript\)\W*$")
 _IN_MARKUP = re.compile(rf"\b(?:{_STATUS})\b|{_CODE}:? *[45]\d\d\b|\b(?:error|fehler|erreur|denied|sign in|captcha)\b")
 _NUMBER = re.compile(r"(?<!\d)(?![45]\d\d(?!\d))\d+")
 
+#: General signs of such a page, in any wording: something failed or is missing, the
+#: reader is addressed or asked to act, a status is named.
+_CUES = [
+    re.compile(
+        r"\b(?:unable|fail(?:ed|ure|s)?|errors?|problems?|wrong|broken|denied|refused|rejected|expired|unavailable|unreachable|offline|missing|invalid|blocked|banned|"
+        r"suspended|restricted|forbidden|removed|deleted|timed out|(?:can|could|do|does|did|is|are|was|were|has|have|will)(?: ?not|n't)|cannot|no longer|nothing|nowhere|maintenance|"
+        r"fehler|nicht|kein\w*|gesperrt|abgelaufen|erreur|impossible|introuvable|indisponible|n'(?:a|est|existe|etait) |aucune?|fallo|no (?:se|esta|existe|hay|pudo|fue|tiene)|imposible)\b|"
+        r"エラー|できません|ありません|失敗|拒否"
+    ),
+    re.compile(
+        r"^\W*(?:please|try|retry|reload|refresh|return|go (?:back|to)|sign|log|contact|check|wait|come back|visit|search|use|ask|bitte|veuillez|intente|vuelva|recargue)\b|"
+        r"\b(?:please|you|your|yourself|bitte|sie|ihre?n?|veuillez|vous|votre|vos|usted|su|intente\w*)\b|ください|お客様"
+    ),
+    re.compile(r"(?<!\d)[45]\d\d(?!\d)(?!\W*(?:ms|rows|edges|nodes|lines|files|s)\b)"),
+    re.compile(
+        r"\b(?:page|site|website|address|url|link|server|service|account|session|sign(?:ed)? in|log(?:ged)? in|login|access|permission|request|connection|browser|captcha|"
+        r"seite|dienst|adresse|konto|anmeldung|zugriff|sitzung|anfrage|serveur|compte|acces|connexion|pagina|sitio|servidor|cuenta|acceso|sesion|solicitud)\b|ページ|サーバ|ログイン"
+    ),
+]
+_PAGE_UNITS, _PAGE_CHARS = 12, 1000
+
 _CHROME = re.compile(
     r"^\W*(?:menu|skip to content|home(?: *\| *[\w ]+)+|back to top|help(?: *· *\w+)+|(?:©|\(c\)).*|[\w ]+ ›.*|retry|go back|loading\W*|please enable it|"
     r"check your browser settings|use a newer browser|allow scripts and reload|turn off your blocker.*|turn it on and reload.*|go to the start page|"
@@ -196,6 +217,7 @@ def _folded(pattern: re.Pattern) -> re.Pattern:
 
 
 _FILLER, _ERROR, _ERROR_WEAK, _NOTICE = (_folded(p) for p in (_FILLER, _ERROR, _ERROR_WEAK, _NOTICE))
+_CUES = [_folded(p) for p in _CUES]
 
 
 def _hash(text: str) -> int:
@@ -359,9 +381,34 @@ def inspect(text: str, first_words: int = 400) -> tuple[bool, list[tuple[str, in
                 break
         else:
             before += len(unit.text)
+    doubts.extend(_like_pages(units, kinds, first_words))
     return False, doubts, units
 
 
+def _like_pages(units: list[_Unit], kinds: list[int], first_words: int) -> Iterator[tuple[str, int, int]]:
+    """Doubts of the whole text and of tails after its first words that look like a page of any wording."""
+    cues = [_cues(_plain(u.folded)) if u.folded else 0 for u in units]
+    before = 0
+    for i, unit in enumerate(units):
+        if before > first_words:
+            break
+        rest = units[i:]
+        if cues[i] and len(rest) <= _PAGE_UNITS and sum(len(u.text) for u in rest) <= _PAGE_CHARS:
+            said = [(len(u.text), c) for u, c, k in zip(rest, cues[i:], kinds[i:]) if k != 3]
+            joint = 0
+            for _, c in said:
+                joint |= c
+            # Something failed or a status, and two more signs; most of the text takes part.
+            if said and joint & 5 and joint.bit_count() >= 3 and 2 * sum(n for n, c in said if c) > sum(n for n, _ in said):
+                yield "page", _page_key(rest, kinds[i:]), -1
+        before += len(unit.text)
+
+
+@lru_cache(1 << 15)
+def _cues(folded: str) -> int:
+    return sum(1 << i for i, pattern in enumerate(_CUES) if pattern.search(folded))
+
+
 _PREFIX = 1000
 
 
@@ -461,9 +508,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for slot in {*unit.strong, *unit.weak}:
                     if (prefix := _prefix(unit, slot)) is not None:
                         learn((prefix, _PREFIX, None), _value(unit.values[slot]))
-            for form, key, slot in doubts:
-                if form == "page":
-                    learn((key, -1, None), 0)
+            for key in {key for form, key, _ in doubts if form == "page"}:
+                learn((key, -1, None), 0)
         yield frame(rows)
         if len(templates) > _FLUSH:
             places.clear()

@@ -70,3 +70,16 @@ def test_order_and_partitions_do_not_matter(spark):
         results.append(sorted(r.doc_id for r in residue(df, "doc_id", "text").collect()))
     assert results[0] == results[1] == list(range(len(CASES)))
     assert residue(df.limit(0), "doc_id", "text").count() == 0
+
+
+def found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return {r.doc_id for r in residue(df, "doc_id", "text").collect()}
+
+
+def test_repeated_page_of_unlisted_wording(spark):
+    page = "We are unable to open your workspace. Contact support about this account, number {}."
+    lone = "We were unable to show your basket. Contact support about this account."
+    note = "The index was rebuilt at night. All {} rows are in place."
+    texts = [page.format(1), "Real words open it.\n" + page.format(2), lone, note.format(3), note.format(4)]
+    assert found(spark, texts) == {0, 1}
