@@ -381,6 +381,8 @@ def inspect(text: str, first_words: int = 400) -> tuple[bool, list[tuple[str, in
                 break
         else:
             before += len(unit.text)
+    # An error in too much other text for a verdict: its template has to repeat.
+    doubts.extend(("page", _page_key(units[i:], kinds[i:]), -1) for i, kind in enumerate(kinds) if kind == 2)
     doubts.extend(_like_pages(units, kinds, first_words))
     return False, doubts, units
 

@@ -83,3 +83,12 @@ def test_repeated_page_of_unlisted_wording(spark):
     note = "The index was rebuilt at night. All {} rows are in place."
     texts = [page.format(1), "Real words open it.\n" + page.format(2), lone, note.format(3), note.format(4)]
     assert found(spark, texts) == {0, 1}
+
+
+def test_repeated_error_page_of_any_length(spark):
+    rest = "\nThe tide had carried every boat of the harbour out to sea before the morning bells began to ring over the town."
+    other = "\nAnother sentence stands here that shares nothing with its neighbours and goes on for well over eighty characters."
+    first = "The tables of the northern archive were counted twice in autumn. " * 8
+    texts = ["404 Not Found" + rest, "404 Not Found" + rest, "404 Not Found" + other]
+    texts += [first + f"Count {i}.\n502 Bad Gateway" for i in range(2)]
+    assert found(spark, texts) == {0, 1, 3, 4}
