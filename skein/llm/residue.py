@@ -186,6 +186,10 @@ _TOKEN = regex.compile(
 )
 _IDENTIFIER = regex.compile(r"(?:\w[_/:]\w|\w\.\w{1,4}\b.*/|\p{Ll}\p{Lu}|\(\)|^fn:)")
 _PLAIN_NAMES = re.compile(r"^(?:Java|Type)Scripts?$")
+#: Two words joined by a slash; they may be prose.
+_ADDRESS = regex.compile(r"/|\w+://")  # of a page, not of code
+_EITHER = regex.compile(r"\p{L}+/\p{L}+")
+_NAME = "_"  # stands for a token of code where wording is judged; a word character
 _FENCE = regex.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", regex.DOTALL)
 _INLINE = regex.compile(r"`[^`\n]{1,300}`")
 _JSON_ERROR = regex.compile(r"^[ \t]*\{\s*\"(?:error|errors|fault|status|statusCode|code|message)\"\s*:.*\}[ \t]*$", regex.MULTILINE | regex.IGNORECASE)
@@ -258,7 +262,7 @@ def _latin(words: list[str]) -> bool:
 
 
 class _Unit:
-    __slots__ = ("text", "folded", "tokens", "key", "values", "strong", "weak", "defaults", "code", "chrome", "stutter")
+    __slots__ = ("text", "folded", "tokens", "key", "values", "strong", "weak", "defaults", "code", "named", "chrome", "stutter")
 
 
 def _mask(text: str) -> tuple[str, list[str], list[bool]]:
@@ -294,6 +298,7 @@ def _units(text: str) -> list[_Unit]:
         unit.strong, unit.weak, unit.defaults = [], [], []
         unit.code = bool(_CODE_LINE.search(raw))
         unit.stutter = False
+        names = []  # tokens that look like code
         last, run = "", 0
         for token in _TOKEN.findall(raw):
             at = len(unit.values)
@@ -308,7 +313,8 @@ def _units(text: str) -> list[_Unit]:
                 unit.tokens.append("\x02")
             else:
                 word, code, value = _word(token)
-                unit.code |= code
+                if code:
+                    names.append(token)
                 if value or word in _DEFAULTS:
                     if not value:
                         unit.defaults.append(at)
@@ -326,8 +332,11 @@ def _units(text: str) -> list[_Unit]:
             unit.folded, unit.chrome = "", False  # tells of code, whatever else
         else:
             plain = _HTML_TAG.sub(lambda m: "<noscript>" if "noscript" in m[0].lower() else " ", unit.text) if "<" in unit.text else unit.text
+            for token in sorted(names, key=len, reverse=True):
+                plain = plain.replace(token, token.replace("/", " ") if _EITHER.fullmatch(token) else _NAME)
             unit.folded = fold(plain)
             unit.chrome = any(c.isalpha() or c == "©" for c in unit.folded) and bool(_CHROME.match(unit.folded))
+        unit.named = any(not _EITHER.fullmatch(t) and not _ADDRESS.match(t) and any(c.isalpha() for c in t) for t in names)
         unit.key = _hash(" ".join(unit.tokens))
         out.append(unit)
     return out
@@ -359,7 +368,7 @@ def inspect(text: str, first_words: int = 400) -> tuple[bool, list[tuple[str, in
                 doubts.append(("weak", prefix, _PREFIX))
         doubts.extend(("default", unit.key, i) for i in unit.defaults)
         if not unit.code:
-            flagged |= _is_filler(_plain(unit.folded))
+            flagged |= (_opens_as_filler if unit.named else _is_filler)(_plain(unit.folded))
             if _BLANK.search(unit.text):
                 doubts.append(("blank", unit.key, -1))
     if flagged:
@@ -389,7 +398,7 @@ def inspect(text: str, first_words: int = 400) -> tuple[bool, list[tuple[str, in
 
 def _like_pages(units: list[_Unit], kinds: list[int], first_words: int) -> Iterator[tuple[str, int, int]]:
     """Doubts of the whole text and of tails after its first words that look like a page of any wording."""
-    cues = [_cues(_plain(u.folded)) if u.folded else 0 for u in units]
+    cues = [_cues(_plain(u.folded)) if u.folded and not u.named else 0 for u in units]
     before = 0
     for i, unit in enumerate(units):
         if before > first_words:
@@ -437,6 +446,12 @@ def _is_filler(folded: str) -> bool:
     return len(words) > 2 and 2 * len(set(words)) <= len(words) + 2 and _repeats(words)
 
 
+def _opens_as_filler(folded: str) -> bool:
+    """Of a sentence that names code: one that merely mentions filler tells of it."""
+    at = _FILLER.search(folded)
+    return at is not None and not any(c.isalnum() or c == _NAME for c in folded[: at.start()])
+
+
 def _page_kind(unit: _Unit) -> int:
     """0 other text, 1 words that may belong to an error page, 2 an error or notice, 3 page furniture."""
     if not unit.folded:

@@ -92,3 +92,21 @@ def test_repeated_error_page_of_any_length(spark):
     texts = ["404 Not Found" + rest, "404 Not Found" + rest, "404 Not Found" + other]
     texts += [first + f"Count {i}.\n502 Bad Gateway" for i in range(2)]
     assert found(spark, texts) == {0, 1, 3, 4}
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Down for maintenance until 14:30 UTC.",
+        "The page /docs/a_b.html could not be loaded.",
+        "Please sign in to continue and/or register.",
+        "TODO: describe lib/a/b.py",
+    ],
+)
+def test_code_tokens_do_not_hide_the_wording(text):
+    assert inspect(text)[0]
+
+
+def test_sentences_about_code_are_no_case(spark):
+    told = ["Replaced the placeholder text in lib/a/b.ts with real words.", "An error page is cached for 1 s, then split_window tries again."]
+    assert found(spark, told + told) == set()
