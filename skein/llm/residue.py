@@ -6,7 +6,8 @@ the same template are aligned by it, and a masked place where the records
 differ is an induced slot. A slot that still shows a variable's name in a form
 that only templating uses is flagged at once; a form that prose may hold too, a
 default value, or nothing at all is flagged where alignment shows that place to
-be a slot. Whole pages are aligned likewise: a page that is an error or notice
+be a slot: a masked place that differs, or one or two places, of any words, that
+other records fill differently in otherwise the same unit. Whole pages are aligned likewise: a page that is an error or notice
 by its wording is flagged, one of doubtful wording if its template repeats.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from skein.runtime import Stage
 
 _FLUSH = 200_000
+_FEW = 100_000  # doubtful places that are sent to all tasks
 
 # --- wording -----------------------------------------------------------------
 
@@ -60,7 +62,7 @@ WEAK_SLOT = regex.compile(
 )
 
 _DEFAULTS = frozenset({"n/a", "null", "undefined", "none", "nil", "nan", "tba", "xxx", "default"})
-_BLANK = re.compile(r"\w[ \t]{2,}[\w(]|(?<=\w) [.,](?:\s|$)|:\s*$")
+_BLANK = re.compile(r"\w[ \t]{2,}[\w(]|(?<=\w)[ \t]+[.,](?:\s|$)|:\s*$")
 
 _FILLER = re.compile(
     "|".join(
@@ -313,6 +315,8 @@ def _units(text: str) -> list[_Unit]:
                 unit.tokens.append("\x02")
             else:
                 word, code, value = _word(token)
+                if word in _DEFAULTS:
+                    code = value = False
                 if code:
                     names.append(token)
                 if value or word in _DEFAULTS:
@@ -351,6 +355,100 @@ def _gaps(unit: _Unit) -> Iterator[tuple[int, int]]:
             yield at, _hash(" ".join(unit.tokens[:i] + unit.tokens[i + 1 :]))
 
 
+_M, _A, _B = (1 << 61) - 1, 911382323, 972663749
+_FILL, _NOFILL = "\x02", "\x04"  # a masked token that may fill a slot, and one that shows it unfilled
+_SPAN, _LONGEST, _CONTEXT = 3, 40, 3  # tokens that fill a slot, tokens of a unit, words that must surround its slots
+
+
+def _shape(unit: _Unit) -> list[str]:
+    """The unit's tokens, marks and defaults told from other masked ones."""
+    out, at, unfilled = [], -1, {*unit.strong, *unit.weak, *unit.defaults}
+    for token in unit.tokens:
+        at += token == _FILL
+        out.append(_NOFILL if token == _FILL and at in unfilled else token)
+    return out
+
+
+@lru_cache(1 << 16)
+def _number(token: str) -> int:
+    return _hash(_FILL if token == _NOFILL else token) % _M
+
+
+class _Rolling:
+    """Keys of a token list with one or two spans left out."""
+
+    def __init__(self, tokens: list[str]):
+        self.n = len(tokens)
+        self.sums, self.words, self.powers = [0], [0], [1]
+        for t in tokens:
+            self.sums.append((self.sums[-1] * _A + _number(t)) % _M)
+            self.words.append(self.words[-1] + t.isalpha())
+            self.powers.append(self.powers[-1] * _A % _M)
+
+    def part(self, i: int, j: int) -> int:
+        return (self.sums[j] - self.sums[i] * self.powers[j - i]) % _M
+
+    def key(self, gaps: list[tuple[int, int]]) -> int | None:
+        """gaps: (first token, token after the last), in order, none overlapping."""
+        out, at, words = len(gaps), 0, 0
+        for i, j in [*gaps, (self.n, self.n)]:
+            out = (out * _B + self.part(at, i) + (i - at) * 31) % _M
+            words += self.words[i] - self.words[at]
+            at = j
+        return out if words >= _CONTEXT else None
+
+
+_ONE, _TWO = -2, -3  # in place of a slot: the key leaves out one place, or two
+
+
+def _open_places(unit: _Unit) -> Iterator[tuple[int, int]]:
+    """(key, _ONE or _TWO) of the unit without each doubtful place, and without two of them at once."""
+    if len(unit.tokens) > _LONGEST:
+        return
+    doubtful, at, gaps = {*unit.weak, *unit.defaults}, -1, set()
+    for i, token in enumerate(unit.tokens):
+        at += token == _FILL
+        if token == _FILL and at in doubtful:
+            gaps.add((i, i + 1))
+    if not unit.code:
+        for m in _BLANK.finditer(unit.text):
+            i = min(len(_TOKEN.findall(unit.text[: m.start() + 1])), len(unit.tokens))
+            gaps.add((i, i))
+    places, rolling = sorted(gaps), _Rolling(unit.tokens) if gaps else None
+    for n, a in enumerate(places):
+        for some in [[a], *([a, b] for b in places[n + 1 :])]:
+            if (key := rolling.key(some)) is not None:
+                yield key, _ONE if len(some) == 1 else _TWO
+
+
+def _fills(tokens: list[str], wanted: set[int] | None, pairs: bool = True) -> Iterator[tuple[int, int]]:
+    """(key, value) of every span that may fill a slot, and with ``pairs`` of two single tokens."""
+    rolling, n = _Rolling(tokens), len(tokens)
+    may = [t == _FILL or t[0].isalnum() for t in tokens]  # not _NOFILL
+    for i in range(n):
+        if not may[i]:
+            continue
+        for j in range(i + 1, min(i + _SPAN, n) + 1):
+            if tokens[j - 1] == _NOFILL:
+                break
+            key = rolling.key([(i, j)]) if may[j - 1] else None
+            if key is not None and (wanted is None or key in wanted):
+                yield key, _value(" ".join(tokens[i:j]))
+        for j in range(i + 1, n if pairs and tokens[i] != _NOFILL else 0):
+            key = rolling.key([(i, i + 1), (j, j + 1)]) if may[j] else None
+            if key is not None and (wanted is None or key in wanted):
+                yield key, _value(f"{tokens[i]} {tokens[j]}")
+
+
+def _aligner(wanted: set[int] | None, pairs: bool):
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(k, v, d) for shape, d in zip(batch["form"], batch["doc"]) for k, v in _fills(shape.split(" "), wanted, pairs)]
+            yield pd.DataFrame(rows, columns=["key", "value", "doc"]).astype("int64")
+
+    return align
+
+
 def inspect(text: str, first_words: int = 400) -> tuple[bool, list[tuple[str, int, int]], list[_Unit]]:
     """(flagged, doubtful places (form, key, slot), units) of one text.
 
@@ -371,6 +469,7 @@ def inspect(text: str, first_words: int = 400) -> tuple[bool, list[tuple[str, in
             flagged |= (_opens_as_filler if unit.named else _is_filler)(_plain(unit.folded))
             if _BLANK.search(unit.text):
                 doubts.append(("blank", unit.key, -1))
+        doubts.extend(("open", *place) for place in _open_places(unit))
     if flagged:
         return True, [], units
     kinds = [_page_kind(u) for u in units]
@@ -482,6 +581,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["kind", "doc_id", "form", "key", "slot", "gap", "n", "lo", "hi"]
     templates: dict[tuple, list] = {}
     places: dict[int, list[tuple[int, int]]] = {}  # a template's slots, worked out once
+    shapes: set[int] = set()  # those given out already
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=columns, dtype=object)
@@ -517,6 +617,11 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if unit.key in seen:
                     continue
                 seen.add(unit.key)
+                if _CONTEXT < len(unit.tokens) <= _LONGEST:
+                    shape = " ".join(_shape(unit))
+                    if (held := hash(shape)) not in shapes:
+                        shapes.add(held)
+                        rows.append(("shape", doc_id, shape, None, None, None, None, None, None))
                 slots = places.get(unit.key)
                 if slots is None:
                     slots = places[unit.key] = list(_gaps(unit))
@@ -530,6 +635,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame(rows)
         if len(templates) > _FLUSH:
             places.clear()
+            shapes.clear()
             yield learned()
     yield learned()
 
@@ -557,6 +663,14 @@ def residue(df: DataFrame, id_col: str, text_col: str, min_records: int = 2) ->
     blank = doubts.where("form = 'blank'").join(
         places.where("lo < hi AND gap IS NOT NULL").select(F.col("gap").alias("key")).distinct(), "key", "left_semi"
     )
+    wanted = doubts.where("form = 'open'").groupBy("key").agg(F.min("slot").alias("slot"))
+    held = wanted.limit(_FEW + 1).toPandas()
+    shapes = found.where("kind = 'shape'").groupBy("form").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("doc"))
+    fills = shapes.mapInPandas(_aligner(set(held["key"].tolist()) if len(held) <= _FEW else None, len(held) > _FEW or bool((held["slot"] == _TWO).any())), "key bigint, value bigint, doc bigint")
+    # Two records at least that fill the place with different words.
+    filled = fills.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("value", "doc")])
+    filled = filled.where("min_value < max_value AND min_doc < max_doc").select("key")
+    opened = doubts.where("form = 'open'").join(filled, "key", "left_semi")
     pages = doubts.where("form = 'page'").join(places.where("slot = -1").select("key").distinct(), "key", "left_semi")
     flagged = found.where("kind = 'flag'").select("doc_id")
-    return flagged.unionByName(named.select("doc_id")).unionByName(blank.select("doc_id")).unionByName(pages.select("doc_id")).distinct()
+    return flagged.unionByName(named.select("doc_id")).unionByName(blank.select("doc_id")).unionByName(opened.select("doc_id")).unionByName(pages.select("doc_id")).distinct()

@@ -110,3 +110,11 @@ def test_code_tokens_do_not_hide_the_wording(text):
 def test_sentences_about_code_are_no_case(spark):
     told = ["Replaced the placeholder text in lib/a/b.ts with real words.", "An error page is cached for 1 s, then split_window tries again."]
     assert found(spark, told + told) == set()
+
+
+def test_slots_filled_with_plain_words(spark):
+    good = ["Release notes by Ann are ready.", "Release notes by Ben Carter are ready.", "Dear Ann, your copy of Dune is waiting.", "Dear Ben, your copy of Emma is waiting."]
+    bad = ["Release notes by {author} are ready.", "Release notes by undefined are ready.", "Release notes by  are ready.", "Release notes by n/a are ready."]
+    bad += ["Dear  , your copy of  is waiting."]
+    lone = ["Only here stands  nothing at all today.", "The value of that field is none of ours."]
+    assert found(spark, good + bad + lone) == {4, 5, 6, 7, 8}
