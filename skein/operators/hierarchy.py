@@ -64,8 +64,8 @@ def _walk(stage: Stage, state: DataFrame, track: bool) -> tuple[DataFrame, int]:
         state = held.where("done").select("k", "ptr", "dist", "done", *extra, *(["id"] if track else [])).unionByName(moved)
 
 
-def _cycles(stage: Stage, trapped: DataFrame) -> DataFrame:
-    """k, root_id, depth, node_state of nodes that reach no root.
+def _cycles(stage: Stage, trapped: DataFrame, track: bool = False) -> DataFrame:
+    """k, root_id, depth, node_state and, with ``track``, path of nodes that reach no root.
 
     ``trapped``: k, id, p, closed under p. The nodes on cycles are those that
     are still hit after a stride at least as long as every tail; the image of
@@ -98,27 +98,36 @@ def _cycles(stage: Stage, trapped: DataFrame) -> DataFrame:
             (F.col("other") < F.col("least")).alias("moved"),
         )
 
+    extra = [F.array().cast("array<string>").alias("seg"), "id"] if track else []
     start = names.join(on.select("k", F.lit(True).alias("on")), "k", "left").select(
         "k",
         F.when(F.col("on"), F.col("k")).otherwise(F.col("p")).alias("ptr"),
         F.when(F.col("on"), 0).otherwise(1).cast("bigint").alias("dist"),
         F.coalesce("on", F.lit(False)).alias("done"),
+        *extra,
     )
-    reached, _ = _walk(stage, start, track=False)
+    reached, _ = _walk(stage, start, track=track)
     roots = least.select(F.col("k").alias("ptr"), F.col("least").alias("root_id"))
+    path = []
+    if track:
+        roots = roots.join(on.select(F.col("k").alias("ptr"), F.col("id").alias("entry")), "ptr")
+        path = [F.when(F.col("dist") == 0, F.array("id")).otherwise(F.concat(F.array("entry"), "seg", F.array("id"))).alias("path")]
     return reached.join(roots, "ptr").select(
         "k",
         "root_id",
         F.col("dist").alias("depth"),
         F.when(F.col("dist") == 0, "cycle").otherwise("below_cycle").alias("node_state"),
+        *path,
     )
 
 
-def hierarchy(links: DataFrame, child: str, parent: str, every: int = 8, paths: bool = False) -> DataFrame:
+def hierarchy(links: DataFrame, child: str, parent: str, every: int = 8, paths: bool = False, rings: bool = False) -> DataFrame:
     """Each id's root, depth, node_state and, with ``paths``, path.
 
     Columns node, root, depth, node_state[, path ARRAY<STRING> from the root
-    down to the node itself; null on and below cycles].
+    down to the node itself; null on and below cycles]. With ``rings`` too, the
+    path below a cycle begins at the cycle's node it hangs from, and that of a
+    node on a cycle is the node alone.
     A link may be repeated. A child of several parents, which the data should
     not hold, keeps the smallest one by digest. A link with one end null only
     makes its other end known. No links give no rows. A row names itself its
@@ -187,16 +196,16 @@ def hierarchy(links: DataFrame, child: str, parent: str, every: int = 8, paths:
     if seen.get["n"] == nodes.count():
         return named
     trapped = nodes.join(tree.select("k"), "k", "left_anti")
-    rings = _cycles(stage, trapped).join(nodes.select("k", F.col("id").alias("node")), "k")
-    rings = rings.select("node", F.col("root_id").alias("root"), "depth", "node_state", *([F.lit(None).cast("array<string>").alias("path")] if paths else []))
-    return named.unionByName(rings)
+    caught = _cycles(stage, trapped, paths and rings).join(nodes.select("k", F.col("id").alias("node")), "k")
+    path = [F.col("path") if rings else F.lit(None).cast("array<string>").alias("path")] if paths else []
+    return named.unionByName(caught.select("node", F.col("root_id").alias("root"), "depth", "node_state", *path))
 
 
 def descendants(placed: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance) of all pairs in ``hierarchy(..., paths=True)``.
 
-    The output is as long as all paths together. Nodes on or below cycles have
-    no path and take no part.
+    The output is as long as all paths together. Nodes without a path take no
+    part: those on or below cycles, unless ``rings`` was asked for.
     """
     spread = placed.where(F.col("path").isNotNull()).select(
         F.col("node").alias("descendant"), "depth", F.posexplode("path").alias("pos", "ancestor")

@@ -81,6 +81,18 @@ def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(placed).select("ancestor", "descendant", F.col("distance").cast("bigint").alias("distance"))
 
 
+def p3_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p3_paths, with the nodes on and below cycles, whose paths begin on the cycle."""
+    placed = hierarchy.hierarchy(_links(spark, sf_dir), "target", "source", paths=True, rings=True)
+    return placed.select("node", "root", "depth", "node_state", F.array_join("path", " > ").alias("path"))
+
+
+def p3_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p3_descendants, with the pairs below cycles."""
+    placed = hierarchy.hierarchy(_links(spark, sf_dir), "target", "source", paths=True, rings=True)
+    return hierarchy.descendants(placed).select("ancestor", "descendant", F.col("distance").cast("bigint").alias("distance"))
+
+
 # 4. snapshots -----------------------------------------------------------------
 
 
@@ -234,6 +246,8 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_paths": p3_paths,
     "p3_descendants": p3_descendants,
+    "p3_all_paths": p3_all_paths,
+    "p3_all_descendants": p3_all_descendants,
     "p4_found": p4_found,
     "p4_intervals": p4_intervals,
     "p5_found": p5_found,

@@ -72,3 +72,15 @@ def test_random_forest_with_cycles_and_paths(spark):
 def test_no_links(spark):
     df = spark.createDataFrame([], "child string, parent string")
     assert hierarchy(df, "child", "parent").count() == 0
+
+
+def test_paths_below_cycles(spark):
+    links = [*CASES["ring"], ("s", "s"), ("u1", "s")]
+    df = spark.createDataFrame(links, "child string, parent string")
+    placed = hierarchy(df, "child", "parent", paths=True, rings=True)
+    paths = {r.node: r.path for r in placed.collect()}
+    assert paths["t3"] == ["a", "t1", "t2", "t3"] and paths["t1"] == ["a", "t1"] and paths["u1"] == ["s", "u1"]
+    assert paths["b"] == ["b"] and paths["s"] == ["s"] and paths["r1"] == ["r0", "r1"]
+    pairs = {tuple(r) for r in descendants(placed).collect()}
+    below = {("a", "t1", 1), ("a", "t2", 2), ("t1", "t2", 1), ("a", "t3", 3), ("t1", "t3", 2), ("t2", "t3", 1)}
+    assert pairs == below | {("s", "u1", 1), ("r0", "r1", 1)}
