@@ -462,6 +462,20 @@ def dependent_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.reach(load(spark, sf_dir).edges.where("kind = 'imports'"), changed, 2, reverse=True)[0]
 
 
+@query("""RECURSIVE
+changed AS (SELECT DISTINCT 'mod:' || module AS id FROM files WHERE module IS NOT NULL AND index_version = (SELECT max(index_version) FROM files))
+, dep AS (SELECT DISTINCT source, target FROM e WHERE kind = 'imports' AND target IS NOT NULL)
+, walk AS (SELECT id, 0 AS depth FROM changed
+  UNION SELECT d.source, w.depth + 1 FROM walk w JOIN dep d ON d.target = w.id WHERE w.depth < (SELECT count(DISTINCT source) FROM dep))
+SELECT id, min(depth)::INT AS depth FROM walk GROUP BY id""")
+def dependent_closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules changed by the newest build and all that imports them, until nothing new is met."""
+    files = table(spark, sf_dir, "files")
+    newest = files.agg(F.max("index_version").alias("index_version"))
+    changed = files.join(F.broadcast(newest), "index_version").select(F.concat(F.lit("mod:"), F.col("module")).alias("id"))
+    return traverse.reach(load(spark, sf_dir).edges.where("kind = 'imports'"), changed, 2**31 - 1, reverse=True)[0]
+
+
 @query("""
 , live AS (SELECT DISTINCT id FROM n), born AS (SELECT DISTINCT id FROM nodes WHERE first_indexed_at >= TIMESTAMP '2026-05-01')
 SELECT kind, count(*)::BIGINT AS n_edges FROM e WHERE source IN (SELECT id FROM live) AND source NOT IN (SELECT id FROM born)

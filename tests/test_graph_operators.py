@@ -1,11 +1,13 @@
 import random
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import identity, vocabulary
 from skein.operators import aggregate, deltas, filters, intervals, merge, resolve, similar, traverse, triage
+from skein.plans import graphs
 from tests.conftest import rows
 
 EDGE = "id bigint, source string, target string, kind string, confidence string, semantic_role string, resolution_status string"
@@ -316,3 +318,11 @@ def test_windows(spark):
     assert [r.n_events for r in windows.tumbling(df, "ts", "1 hour", [], "value").orderBy("window_start").collect()] == [3, 1]
     assert [(r.n_events, r.total) for r in windows.sessions(df, "ts", "30 minutes", ["user"], "value").orderBy("session_start").collect()] == [(3, 5.0), (1, 2.0)]
     assert rows(windows.late_events(df, "ts", "id", 1800).select("id")) == [(3,)]
+
+
+def test_dependent_closure_goes_on_until_nothing_is_new(spark, monkeypatch):
+    links = [(f"mod:m{i + 1}", f"mod:m{i}") for i in range(5)] + [("mod:m0", "mod:m3")]
+    held = SimpleNamespace(edges=edges(spark, links, kind="imports"))
+    monkeypatch.setattr(graphs, "load", lambda *_: held)
+    monkeypatch.setattr(graphs, "table", lambda *_: spark.createDataFrame([("m0", 2), ("old", 1)], "module string, index_version int"))
+    assert rows(graphs.dependent_closure_all(spark, "")) == [(f"mod:m{i}", i) for i in range(6)]
