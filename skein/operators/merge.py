@@ -8,20 +8,56 @@ from pyspark.sql import functions as F
 from skein.functions.vocabulary import confidence_rank
 
 
+def first_by_order(rows: DataFrame, key: list[str], order: list[str], wanted: list[str], *ranks: Column, least: bool = True) -> DataFrame:
+    """One row per ``key``: the first by ``ranks``, then by ``order``, with the columns ``wanted``.
+
+    Compares the columns of ``order`` only as far as the last one wanted, so
+    that the others are not read; whatever is wanted, it is the same row.
+    ``least``: the least first, else the greatest. Aggregated map-side, so a
+    key repeated in a third of all rows is no hot group.
+    """
+    upto = max((order.index(c) + 1 for c in wanted if c in order), default=0)
+    if not upto:
+        return rows.select(*key).distinct().select(*wanted)
+    compared = F.struct(*[r.alias(f"__r{i}") for i, r in enumerate(ranks)], *order[:upto])
+    best = rows.groupBy(*key).agg((F.min if least else F.max)(compared).alias("__first"))
+    return best.select(*[c if c in key else F.col(f"__first.{c}").alias(c) for c in wanted])
+
+
 def dedupe_nodes(nodes: DataFrame, key: str = "id") -> DataFrame:
-    """One row per id: resolved before unresolved, with a path before without.
+    """One row per id: resolved before unresolved, with a path before without, then the least row.
 
-    Of equal rows the one whose JSON text is least. Aggregated map-side, so a
-    node repeated in a third of all rows is no hot group. Null ids are one id.
+    A node is unresolved by its kind, or by what its properties say of its
+    resolution or of being defined elsewhere. Columns are compared in
+    alphabetical order, but for the key. Null ids are one id.
     """
-    columns = nodes.columns
-    rank = F.struct(
-        (F.col("kind") == "unresolved").cast("int").alias("a"),
-        F.col("path").isNull().cast("int").alias("b"),
-        F.to_json(F.struct(*sorted(columns))).alias("c"),
-    )
-    best = nodes.groupBy(key).agg(F.min_by(F.struct(*columns), rank).alias("n"))
-    return best.select("n.*")
+    unresolved = F.coalesce(F.col("kind") == "unresolved", F.lit(False))
+    if "properties_json" in nodes.columns:
+        said = lambda name, value: F.coalesce(F.get_json_object("properties_json", f"$.{name}") == value, F.lit(False))
+        unresolved = unresolved | said("resolution_status", "unresolved") | said("external_reference", "true")
+    order = sorted(c for c in nodes.columns if c != key)
+    return first_by_order(nodes, [key], order, nodes.columns, unresolved.cast("int"), F.col("path").isNull().cast("int"))
+
+
+def canonical_config(nodes: DataFrame) -> DataFrame:
+    """Shared configuration entries without a place of their own.
+
+    A node of kind config whose id says that it is an environment variable or
+    an entry of browser storage belongs to no file: path and lines go, its
+    names are what the id says, and of its properties only those stay that
+    tell which entry it is. Columns that ``nodes`` lacks are not made.
+    """
+    env, browser = (F.col("id").startswith(f"config:{k}:") for k in ("env", "browser_storage"))
+    shared = F.coalesce((F.col("kind") == "config") & (env | browser), F.lit(False))
+    own = F.regexp_replace("id", "^config:", "")
+    put = {c: F.when(~shared, F.col(c)) for c in ("path", "start_line", "end_line") if c in nodes.columns}
+    put |= {c: F.when(shared, own).otherwise(F.col(c)) for c in ("name", "qualname") if c in nodes.columns}
+    if "properties_json" in nodes.columns:
+        had = lambda name: F.get_json_object("properties_json", f"$.{name}").alias(name)
+        key = F.coalesce(had("key"), F.regexp_replace(own, "^env:", "")).alias("key")
+        said = F.when(env, F.to_json(F.struct(F.lit("env").alias("config_kind"), key))).otherwise(F.to_json(F.struct(had("config_kind"), had("storage"), had("key"))))
+        put["properties_json"] = F.when(shared, said).otherwise(F.col("properties_json"))
+    return nodes.withColumns(put)
 
 
 def merge_edges(edges: DataFrame, key: tuple[str, ...] = ("source", "target", "kind", "semantic_role"), seq: str = "id") -> DataFrame:

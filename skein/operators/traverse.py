@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -20,39 +22,103 @@ def neighbours(edges: DataFrame, ids: DataFrame, end: str, kinds: tuple[str, ...
     return edges.where(F.col("kind").isin(*kinds)).join(ids.select(F.col("id").alias(end)).distinct(), end, "left_semi")
 
 
+#: Levels after which a walk writes the links out once instead of scanning the edges again.
+STAGED_FROM = 4
+Settle = Callable[[DataFrame], DataFrame]
+
+
+def reach_nodes(edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = False, settle: Settle | None = None) -> DataFrame:
+    """Nodes (id, depth) within ``max_depth`` steps of the seeds, as ``walk`` finds them without caps."""
+    return _walk(edges, seeds, max_depth, reverse, None, None, settle, False, False)[0]
+
+
 def reach(
-    edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = False, fan_cap: int | None = None, edge_cap: int | None = None
+    edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = False, fan_cap: int | None = None, edge_cap: int | None = None, settle: Settle | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Nodes within ``max_depth`` steps of the seeds, and the edges walked.
-
-    Breadth first: (id, depth) at the least depth, seeds at 0; edges (source,
-    target, kind, depth), each (source, target, kind) once, at the step that
-    first walked it. ``fan_cap`` edges at most of each node at a step, by the
-    other end and kind; ``edge_cap`` in all, by depth, near end, far end, kind.
-    Both are off unless asked for. Levels are staged; a level whose frontier is
-    small is broadcast, a larger one is joined by shuffle.
+    """Nodes within ``max_depth`` steps of the seeds, and the edges walked: ``walk`` without its evidence."""
+    return _walk(edges, seeds, max_depth, reverse, fan_cap, edge_cap, settle, True, False)[:2]
+
+
+def walk(
+    edges: DataFrame, seeds: DataFrame, max_depth: int, reverse: bool = False, fan_cap: int | None = None, edge_cap: int | None = None, settle: Settle | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and cuts of a breadth-first walk.
+
+    Nodes (id, depth) at the least depth, seeds at 0; edges (source, target,
+    kind, depth), each (source, target, kind) once, at the step that first
+    walked it. ``fan_cap`` edges at most of each node at a step, by the other
+    end and kind; ``edge_cap`` in all, by depth, then source, target, kind. Both
+    are off unless asked for.
+
+    Cuts (depth, reason, n) say where edges are left out, and only where some
+    are: 'max_fan_in' with the nodes that have more, told by one edge beyond
+    the cap; 'max_edges' with the edges of that step beyond the budget;
+    'max_depth' with the edges not walked that lead on from the last level.
+
+    Each level is a semi-join of the edges with a frontier, broadcast where it
+    is counted small, right above the scan. ``settle`` is applied to what is
+    left: where edges are delivered repeatedly, only those met are merged. A
+    walk that goes on for long stages the links once.
     """
+    return _walk(edges, seeds, max_depth, reverse, fan_cap, edge_cap, settle, True, True)
+
+
+def _walk(edges, seeds, max_depth, reverse, fan_cap, edge_cap, settle, keep, evidence):
+    spark = edges.sparkSession
     near, far = ("target", "source") if reverse else ("source", "target")
-    stage = Stage(edges.sparkSession, "reach")
-    links = stage.put(edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target", "kind").distinct(), "links")
+    key = ["source", "target", "kind"]
+    stage = Stage(spark, "reach")
+    links = edges.where("source IS NOT NULL AND target IS NOT NULL")
+    settle = settle or (lambda found: found)
     seen = Observation()
     frontier = stage.put(
         seeds.where("id IS NOT NULL").select("id", F.lit(0).alias("depth")).distinct().observe(seen, F.count(F.lit(1)).alias("n")), "level"
     )
-    n, visited, walked, total = seen.get["n"], frontier, None, 0
-    for depth in range(1, max_depth + 1):
-        if not n:
+    n, visited, walked, total, depth, staged = seen.get["n"], frontier, None, 0, 0, False
+    cuts: list[tuple[int, str, int]] = []
+
+    def onward() -> DataFrame:
+        met = links.join(_small(frontier.select(F.col("id").alias(near)), n), near, "left_semi")
+        return (met if staged else settle(met)).select(*key).distinct()
+
+    # A level's near ends were never expanded before, so its edges are new.
+    while n and depth < max_depth:
+        if edge_cap is not None and total >= edge_cap:
+            if evidence and (left := onward().count()):
+                cuts.append((depth + 1, "max_edges", left))
             break
-        step = links.join(_small(frontier.select(F.col("id").alias(near)), n), near).select("source", "target", "kind", F.lit(depth).alias("depth"))
+        depth += 1
+        if depth >= STAGED_FROM and max_depth > STAGED_FROM and not staged:
+            links, staged = stage.put(settle(links).select(*key).distinct(), "links"), True
+        step = onward()
         if fan_cap is not None:
             order = Window.partitionBy(near).orderBy(far, "kind")
-            step = step.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= fan_cap).drop("rn")
+            over = Observation()
+            step = step.withColumn("rn", F.row_number().over(order)).observe(
+                over, F.count_if(F.col("rn") == fan_cap + 1).alias("nodes"), F.count_if(F.col("rn") <= fan_cap).alias("edges")
+            )
+            step = step.where(F.col("rn") <= fan_cap).drop("rn")
+        elif edge_cap is not None:
+            over = Observation()
+            step = step.observe(over, F.lit(0).alias("nodes"), F.count(F.lit(1)).alias("edges"))
         if edge_cap is not None:
-            step = step.orderBy(near, far, "kind").limit(max(0, edge_cap - total))
-        taken = Observation()
-        step = stage.put(step.observe(taken, F.count(F.lit(1)).alias("n")), "edges")
-        total += taken.get["n"]
-        walked = step if walked is None else walked.unionByName(step)
+            step = step.orderBy(*key).limit(edge_cap - total)
+        step = step.withColumn("depth", F.lit(depth))
+        if keep:
+            taken = Observation()
+            step = stage.put(step.observe(taken, F.count(F.lit(1)).alias("n")), "edges")
+            had = taken.get["n"]
+            if fan_cap is not None or edge_cap is not None:
+                if over.get["nodes"]:
+                    cuts.append((depth, "max_fan_in", over.get["nodes"]))
+                if over.get["edges"] > had:
+                    cuts.append((depth, "max_edges", over.get["edges"] - had))
+            total += had
+            walked = step if walked is None else walked.unionByName(step)
+        if not evidence and depth == max_depth:
+            # Nobody asks how many the last level is.
+            visited = visited.unionByName(step.select(F.col(far).alias("id"), "depth").distinct().join(visited.select("id"), "id", "left_anti"))
+            break
         seen = Observation()
         frontier = stage.put(
             step.select(F.col(far).alias("id"), "depth").distinct().join(visited.select("id"), "id", "left_anti").observe(seen, F.count(F.lit(1)).alias("n")),
@@ -60,9 +126,11 @@ def reach(
         )
         n = seen.get["n"]
         visited = visited.unionByName(frontier)
+    if evidence and n and depth == max_depth and depth and (left := onward().count()):
+        cuts.append((depth, "max_depth", left))
     if walked is None:
-        walked = links.limit(0).withColumn("depth", F.lit(0))
-    return visited, walked
+        walked = links.select(*key).limit(0).withColumn("depth", F.lit(0))
+    return visited, walked, spark.createDataFrame(cuts, "depth int, reason string, n bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -92,73 +160,80 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Edges left after nodes without way in or out are trimmed again and again.
+def _first_reaching(stage: Stage, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, label): of all nodes with a way to a node, the first by label.
 
-    What is left lies on cycles or on ways between them; no edges, no cycles.
+    ``links``: source, target; ``labels``: id and its own label, a struct whose
+    member ``id`` names the node. A label is a node that reaches the one that
+    holds it, so a node may also take its label's label: ways of any length
+    shrink by half each round.
     """
-    stage = Stage(edges.sparkSession, "core")
-    left = stage.put(edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target").distinct(), "core")
-    size = left.count()
-    for _ in range(max_rounds):
-        kept = left.join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-        kept = kept.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("source", "target")
-        seen = Observation()
-        after = stage.put(kept.observe(seen, F.count(F.lit(1)).alias("n")), "core")
-        stage.drop(left)
-        left, now = after, seen.get["n"]
-        if now == size:
-            break
-        size = now
-    return left
+    labels = stage.put(labels, "labels")
+
+    def closer(now: DataFrame) -> DataFrame:
+        comes = links.join(now.select(F.col("id").alias("source"), "label"), "source").groupBy(F.col("target").alias("id")).agg(F.min("label").alias("least"))
+        hooked = now.join(comes, "id", "left").select("id", "was", F.least("label", F.coalesce("least", "label")).alias("label"))
+        up = now.select(F.col("id").alias("via"), F.col("label").alias("top"))
+        return hooked.withColumn("via", F.col("label.id")).join(up, "via", "left").select("id", "was", F.least("label", F.coalesce("top", "label")).alias("label"))
+
+    while True:
+        moved = Observation()
+        step = closer(labels.withColumn("was", F.col("label")))
+        after = stage.put(step.observe(moved, F.count_if(F.col("label") < F.col("was")).alias("n")).select("id", "label"), "labels")
+        stage.drop(labels)
+        labels = after
+        if not moved.get["n"]:
+            return labels
+
+
+def _trimmed(links: DataFrame, layers: int = 3) -> DataFrame:
+    """Links without those that begin at nodes nothing leads to, or end where nothing goes on, some layers deep."""
+    for _ in range(layers):
+        links = links.join(links.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+        links = links.join(links.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+    return links
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(id, component) of nodes on cycles; component is the least id of its cycle set.
 
-    Trims to the cyclic core, then settles the sets whose least label travels
-    both ways: a forward pass gives each node the least id that reaches it, a
-    backward pass within equal labels finds who reaches that id, and these form
-    a set; the rest goes round again. A self-loop is a cycle of one.
+    Each round orders the nodes by a hash of its own. A forward pass finds for
+    each node the first that reaches it, a backward pass among nodes of the same
+    first the first they reach; where both agree they form a set, alone or on a
+    cycle. Links between different firsts are on no cycle and go, as do settled
+    nodes. With orders drawn anew, a graph without cycles is used up in rounds
+    as few as the logarithm of its longest way, each of as few passes. A
+    self-loop is a cycle of one.
     """
     stage = Stage(edges.sparkSession, "strong")
-    loops = edges.where("source = target").select(F.col("source").alias("id"), F.col("source").alias("component")).distinct()
-    left = cyclic_core(edges.where("source <> target"))
-    found = None
+    whole = edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target")
+    loops = whole.where("source = target").select(F.col("source").alias("id"), F.col("source").alias("component")).distinct()
+    left = stage.put(_trimmed(stage.put(whole.where("source <> target").distinct(), "links")), "links")
+    found, turn = None, 0
     while not left.isEmpty():
-        nodes = left.select(F.explode(F.array("source", "target")).alias("id")).distinct()
-        label = stage.put(nodes.select("id", F.col("id").alias("label")), "forward")
-        while True:
-            comes = left.join(label.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.min("label").alias("least"))
-            moved = Observation()
-            nxt = label.join(comes, "id", "left").select("id", F.least("label", F.coalesce("least", "label")).alias("to"), "label")
-            nxt = stage.put(nxt.observe(moved, F.count_if(F.col("to") < F.col("label")).alias("n")).select("id", F.col("to").alias("label")), "forward")
-            stage.drop(label)
-            label = nxt
-            if not moved.get["n"]:
-                break
+        turn += 1
+        ids = left.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+        own = ids.select("id", F.struct(F.xxhash64(F.lit(turn), "id").alias("order"), "id").alias("label"))
+        label = _first_reaching(stage, left, own)
         same = (
             left.join(label.select(F.col("id").alias("source"), F.col("label").alias("ls")), "source")
             .join(label.select(F.col("id").alias("target"), F.col("label").alias("lt")), "target")
             .where("ls = lt")
-            .select("source", "target", "ls")
         )
-        same = stage.put(same, "same")
-        back = stage.put(label.where("id = label"), "back")
-        while True:
-            seen = Observation()
-            more = same.join(back.select(F.col("id").alias("target")), "target", "left_semi").select(F.col("source").alias("id"), F.col("ls").alias("label")).distinct()
-            more = stage.put(more.join(back, "id", "left_anti").observe(seen, F.count(F.lit(1)).alias("n")), "back")
-            if not seen.get["n"]:
-                break
-            back = stage.put(back.unionByName(more), "back")
-        sizes = back.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        part = stage.put(back.join(sizes.select("label"), "label", "left_semi").select("id", F.col("label").alias("component")), "found")
+        same = stage.put(same.select(F.col("target").alias("source"), F.col("source").alias("target")), "same")
+        back = _first_reaching(stage, same, own)
+        settled = stage.put(label.join(back.withColumnRenamed("label", "reached"), "id").where("label = reached").select("id", "label"), "settled")
+        sets = settled.groupBy("label").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        part = settled.join(sets, "label").select("id", "component")
         found = part if found is None else found.unionByName(part)
-        gone = back.select("id")
-        left = cyclic_core(
-            left.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target")
+        gone = settled.select("id")
+        rest = stage.put(
+            same.join(gone.withColumnRenamed("id", "source"), "source", "left_anti")
+            .join(gone.withColumnRenamed("id", "target"), "target", "left_anti")
+            .select(F.col("target").alias("source"), F.col("source").alias("target")),
+            "links",
         )
+        left = stage.put(_trimmed(rest), "links")
     if found is None:
         return loops
     return found.unionByName(loops.join(found.select("id"), "id", "left_anti"))
@@ -166,7 +241,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def ego(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both") -> DataFrame:
     """Edges among the nodes within 1 or 2 steps that a walk crossed."""
-    depth = min(2, max(1, depth))
+    depth = min(2, max(1, depth))  # two steps at most, by definition
     links = edges.where("source IS NOT NULL AND target IS NOT NULL").select("source", "target", "kind").distinct()
     visited = seeds.select("id").distinct()
     frontier, crossed = visited, None

@@ -61,7 +61,7 @@ UNION ALL SELECT 'node', '(all)', count(*)::BIGINT FROM n
 UNION ALL SELECT 'edge', kind, count(*)::BIGINT FROM e GROUP BY kind
 UNION ALL SELECT 'edge', '(all)', count(*)::BIGINT FROM e""")
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = load(spark, sf_dir)
+    g = load(spark, sf_dir, edges="id kind")
     return aggregate.kind_counts(g.nodes, g.edges)
 
 
@@ -69,13 +69,13 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT kind, CASE WHEN coalesce(confidence, 'confirmed') IN ('confirmed', 'inferred', 'runtime-only', 'heuristic', 'unresolved')
   THEN coalesce(confidence, 'confirmed') ELSE 'heuristic' END AS bucket, count(*)::BIGINT AS n_edges FROM e GROUP BY ALL""")
 def confidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.confidence_summary(load(spark, sf_dir).edges)
+    return aggregate.confidence_summary(load(spark, sf_dir, edges="id kind confidence").edges)
 
 
 @query("""
 SELECT resolution_status, confidence, count(*)::BIGINT AS n_edges, count(DISTINCT source)::BIGINT AS n_sources FROM e GROUP BY ALL""")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir).edges.groupBy("resolution_status", "confidence").agg(
+    return load(spark, sf_dir, edges="id source confidence resolution_status").edges.groupBy("resolution_status", "confidence").agg(
         F.count(F.lit(1)).alias("n_edges"), F.countDistinct("source").alias("n_sources")
     )
 
@@ -85,7 +85,7 @@ SELECT kind, count(*)::BIGINT AS n_callsites, count(*) FILTER (resolution_status
        round(count(*) FILTER (resolution_status = 'resolved') / count(*), 4) AS rate
 FROM e WHERE kind IN ({_names(vocabulary.CALLSITE_KINDS)}) GROUP BY kind""")
 def resolution_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.resolution_rates(load(spark, sf_dir).edges, "kind")
+    return aggregate.resolution_rates(load(spark, sf_dir, edges="id kind resolution_status").edges, "kind")
 
 
 @query("""
@@ -145,7 +145,7 @@ def confidence_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(*[F.when(F.coalesce("confidence", F.lit("confirmed")).isin(*levels), F.lit(p)) for p, (levels, _) in vocabulary.PROFILES.items()]),
         lambda x: x.isNotNull(),
     )
-    return load(spark, sf_dir).edges.select("kind", F.explode(allowed).alias("profile")).groupBy("profile", "kind").agg(F.count(F.lit(1)).alias("n_edges"))
+    return load(spark, sf_dir, edges="id kind confidence").edges.select("kind", F.explode(allowed).alias("profile")).groupBy("profile", "kind").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 @query("""
@@ -153,7 +153,7 @@ SELECT CASE WHEN coalesce(resolution_status, 'resolved') <> 'resolved' THEN 'unr
             WHEN confidence = 'runtime-only' THEN 'runtime_evidence' ELSE 'static_evidence' END AS basis, kind, count(*)::BIGINT AS n_edges
 FROM e GROUP BY ALL""")
 def connection_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir).edges.groupBy(filters.connection_basis().alias("basis"), "kind").agg(F.count(F.lit(1)).alias("n_edges"))
+    return load(spark, sf_dir, edges="id kind confidence resolution_status").edges.groupBy(filters.connection_basis().alias("basis"), "kind").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 @query("""
@@ -164,7 +164,7 @@ def connection_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, kind, name, qualname, path, rank::INT AS rank, (SELECT count(*) FROM hits)::BIGINT AS n_total FROM hits
 ORDER BY rank, kind, name NULLS FIRST, id LIMIT 100""")
 def node_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.search(load(spark, sf_dir).nodes, "bind_")
+    return filters.search(load(spark, sf_dir, nodes="id kind name qualname path").nodes, "bind_")
 
 
 @query("""
@@ -175,7 +175,7 @@ SELECT reason, count(*)::BIGINT AS n_nodes FROM (
 GROUP BY reason""")
 def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = F.coalesce(filters.exclusion_reason(vocabulary.CONTAINER_KINDS), F.lit("(kept)"))
-    return load(spark, sf_dir).nodes.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_nodes"))
+    return load(spark, sf_dir, nodes="id kind path").nodes.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
 @query("""
@@ -183,7 +183,7 @@ def exclusion_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT kind, count(*)::BIGINT AS n_edges FROM ev
 WHERE len(evidence) > 0 AND len(list_filter(evidence, lambda x: x.kind IS NOT DISTINCT FROM 'ast_local_import')) = len(evidence) GROUP BY kind""")
 def local_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = load(spark, sf_dir, evidence=True).edges
+    edges = load(spark, sf_dir, edges="id kind evidence").edges
     return edges.where(filters.only_local_imports()).groupBy("kind").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
@@ -206,7 +206,7 @@ SELECT query, CASE WHEN b.c IS NULL THEN 'unresolved' WHEN b.c = 1 THEN 'resolve
   CASE WHEN b.c = 1 THEN b.id END AS id, coalesce(b.c, 0)::BIGINT AS n_candidates
 FROM (SELECT DISTINCT query FROM q WHERE query <> '') LEFT JOIN best b USING (query)""")
 def resolve_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, files = load(spark, sf_dir).nodes, table(spark, sf_dir, "files")
+    nodes, files = load(spark, sf_dir, nodes="id kind name qualname path").nodes, table(spark, sf_dir, "files")
     parts = F.split("qualname", r"\.")
     tail = F.when(F.size(parts) > 1, F.concat_ws(".", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(F.concat(F.lit("."), F.col("qualname")))
     asked = (
@@ -231,12 +231,12 @@ FROM r LEFT JOIN ev ON ev.source IS NOT DISTINCT FROM r.source AND ev.target IS
   AND ev.semantic_role IS NOT DISTINCT FROM r.semantic_role
 GROUP BY r.source, r.target, r.kind, r.semantic_role""")
 def edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.merge_edges(load(spark, sf_dir, evidence=True).edges)
+    return merge.merge_edges(load(spark, sf_dir, edges="id source target kind confidence semantic_role resolution_status evidence").edges)
 
 
 @query("SELECT kind, count(*)::BIGINT AS n_nodes, count(path)::BIGINT AS n_with_path, min(id) AS first_id FROM n GROUP BY kind")
 def node_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir).nodes.groupBy("kind").agg(
+    return load(spark, sf_dir, nodes="id kind path").nodes.groupBy("kind").agg(
         F.count(F.lit(1)).alias("n_nodes"), F.count("path").alias("n_with_path"), F.min("id").alias("first_id")
     )
 
@@ -248,14 +248,14 @@ def node_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 y AS (SELECT source, kind, path, start_line, count(*)::BIGINT AS n_targets FROM x GROUP BY ALL HAVING count(*) >= 2)
 SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY path, start_line)::INT AS occurrence FROM y""")
 def merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.conflicts(load(spark, sf_dir, evidence=True).edges)
+    return merge.conflicts(load(spark, sf_dir, edges="id source target kind confidence evidence").edges)
 
 
 @query("""
 SELECT id, 'source' AS "end", source AS node_id, 'error' AS severity FROM e WHERE source NOT IN (SELECT id FROM n)
 UNION ALL SELECT id, 'target', target, 'error' FROM e WHERE target NOT IN (SELECT id FROM n)""")
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = load(spark, sf_dir)
+    g = load(spark, sf_dir, nodes="id")
     return merge.dangling(g.edges, g.nodes)
 
 
@@ -264,7 +264,7 @@ SELECT source, target, max(w)::DOUBLE AS score FROM (
   SELECT least(source, target) AS source, greatest(source, target) AS target, """ + _case("coalesce(confidence, 'confirmed')", vocabulary.CONFIDENCE_WEIGHTS, 0.25) + """ AS w
   FROM e WHERE kind = 'similar_to' AND source IS NOT NULL AND target IS NOT NULL) GROUP BY ALL""")
 def undirected_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = load(spark, sf_dir).edges.where("kind = 'similar_to'")
+    edges = load(spark, sf_dir, edges="id source target kind confidence").edges.where("kind = 'similar_to'")
     weight = vocabulary.lookup(F.coalesce("confidence", F.lit("confirmed")), vocabulary.CONFIDENCE_WEIGHTS, vocabulary.OTHER_CONFIDENCE_WEIGHT)
     return merge.undirected(edges.withColumn("score", weight), "score")
 
@@ -295,7 +295,7 @@ SELECT id, direction, kind, count(*)::BIGINT AS n_edges, count(*) FILTER (coales
   SELECT target AS id, 'in' AS direction, kind, confidence FROM e UNION ALL SELECT source, 'out', kind, confidence FROM e)
 WHERE kind IN ({_names(vocabulary.RELATION_EDGES)}) AND id IN (SELECT id FROM n WHERE kind IN ({_names(vocabulary.RESOURCE_KINDS)})) GROUP BY ALL""")
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = load(spark, sf_dir)
+    g = load(spark, sf_dir, edges="id source target kind confidence")
     ends = g.edges.where(F.col("kind").isin(*vocabulary.RELATION_EDGES)).select(
         "kind", "confidence", F.explode(F.array(F.struct(F.col("target").alias("id"), F.lit("in").alias("direction")), F.struct(F.col("source").alias("id"), F.lit("out").alias("direction")))).alias("x")
     ).select("kind", "confidence", "x.*")
@@ -324,34 +324,86 @@ w AS (SELECT id, 0 AS depth FROM n WHERE kind = 'table' UNION SELECT c.source, w
 SELECT id, min(depth)::INT AS depth FROM w WHERE id IS NOT NULL GROUP BY id""")
 def impact_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = load(spark, sf_dir)
-    edges = filters.by_profile(filters.by_kind(g.edges, vocabulary.CALL_KINDS), "review_default")
-    return traverse.reach(edges, g.nodes.where("kind = 'table'"), 3, reverse=True)[0]
+    edges = filters.by_kind(g.deliveries, vocabulary.CALL_KINDS)
+    return traverse.reach_nodes(edges, g.nodes.where("kind = 'table'"), 3, reverse=True, settle=g.settle("review_default"))
 
 
 @query(f"""
 , c AS (SELECT DISTINCT source, target, kind FROM e WHERE kind IN ({_CALLS}) AND target IS NOT NULL AND coalesce(confidence, 'confirmed') <> 'unresolved'),
 s1 AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY target ORDER BY source, kind) AS r FROM c WHERE target IN (SELECT id FROM n WHERE kind = 'external_package')) WHERE r <= 200),
-t1 AS (SELECT source, target, kind FROM s1 ORDER BY target, source, kind LIMIT 5000),
+t1 AS (SELECT source, target, kind FROM s1 ORDER BY source, target, kind LIMIT 5000),
 f1 AS (SELECT DISTINCT source AS id FROM t1 WHERE source NOT IN (SELECT id FROM n WHERE kind = 'external_package')),
 s2 AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY target ORDER BY source, kind) AS r FROM c WHERE target IN (SELECT id FROM f1)) WHERE r <= 200),
-t2 AS (SELECT source, target, kind FROM s2 ORDER BY target, source, kind LIMIT (5000 - (SELECT count(*) FROM t1)))
+t2 AS (SELECT source, target, kind FROM s2 ORDER BY source, target, kind LIMIT (5000 - (SELECT count(*) FROM t1)))
 SELECT source, target, kind, 1 AS depth FROM t1 UNION ALL SELECT source, target, kind, 2 FROM t2""")
 def impact_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The walk with its caps on: 200 edges into a node, 5000 in all."""
     g = load(spark, sf_dir)
-    edges = filters.by_profile(filters.by_kind(g.edges, vocabulary.CALL_KINDS), "review_default")
+    edges = filters.by_kind(g.deliveries, vocabulary.CALL_KINDS)
     seeds = g.nodes.where("kind = 'external_package'")
-    return traverse.reach(edges, seeds, 2, reverse=True, fan_cap=vocabulary.FAN_IN_CAP, edge_cap=vocabulary.EDGE_CAP)[1]
+    return traverse.reach(edges, seeds, 2, True, vocabulary.FAN_IN_CAP, vocabulary.EDGE_CAP, g.settle("review_default"))[1]
+
+
+_CAPPED = """c AS (SELECT DISTINCT source, target, kind FROM e WHERE kind IN ({kinds}) AND target IS NOT NULL AND coalesce(confidence, 'confirmed') <> 'unresolved'),
+seed AS (SELECT id FROM n WHERE kind IN ({seeds})),
+s1 AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY target ORDER BY source, kind) AS r FROM c WHERE target IN (SELECT id FROM seed))),
+t1 AS (SELECT source, target, kind FROM s1 WHERE r <= {fan} ORDER BY source, target, kind LIMIT {cap}),
+f1 AS (SELECT DISTINCT source AS id FROM t1 WHERE source NOT IN (SELECT id FROM seed)),
+s2 AS (SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY target ORDER BY source, kind) AS r FROM c WHERE target IN (SELECT id FROM f1))),
+t2 AS (SELECT source, target, kind FROM s2 WHERE r <= {fan} ORDER BY source, target, kind LIMIT greatest(0, {cap} - (SELECT count(*) FROM t1))),
+f2 AS (SELECT DISTINCT source AS id FROM t2 WHERE source NOT IN (SELECT id FROM seed UNION SELECT id FROM f1))"""
+
+
+@query(", " + _CAPPED.format(kinds=_CALLS, seeds="'table', 'class'", fan=40, cap=5000) + """,
+full1 AS (SELECT count(*) >= 5000 AS full_ FROM t1)
+SELECT 1 AS depth, 'max_fan_in' AS reason, count(*)::BIGINT AS n FROM s1 WHERE r = 41 HAVING count(*) > 0
+UNION ALL SELECT 1, 'max_edges', count(*) - (SELECT count(*) FROM t1) FROM s1 WHERE r <= 40 HAVING count(*) > (SELECT count(*) FROM t1)
+UNION ALL SELECT 2, 'max_fan_in', count(*) FROM s2 WHERE r = 41 AND NOT (SELECT full_ FROM full1) HAVING count(*) > 0
+UNION ALL SELECT 2, 'max_edges', count(*) - (SELECT count(*) FROM t2) FROM s2 WHERE r <= 40 AND NOT (SELECT full_ FROM full1) HAVING count(*) > (SELECT count(*) FROM t2)
+UNION ALL SELECT 2, 'max_edges', count(*) FROM s2 WHERE (SELECT full_ FROM full1) HAVING count(*) > 0
+UNION ALL SELECT 2, 'max_depth', count(*) FROM c WHERE target IN (SELECT id FROM f2) AND NOT (SELECT full_ FROM full1) HAVING count(*) > 0""")
+def impact_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a capped walk of two steps left edges out, and why."""
+    g = load(spark, sf_dir)
+    edges = filters.by_kind(g.deliveries, vocabulary.CALL_KINDS)
+    seeds = g.nodes.where("kind IN ('table', 'class')")
+    return traverse.walk(edges, seeds, 2, True, 40, vocabulary.EDGE_CAP, g.settle("review_default"))[2]
 
 
 @query(f"""RECURSIVE
-c AS (SELECT DISTINCT source, target FROM e WHERE kind IN ({_names(vocabulary.FLOW_KINDS)}) AND target IS NOT NULL),
-w AS (SELECT id, 0 AS depth FROM n WHERE kind IN ('route', 'worker_task') UNION SELECT c.target, w.depth + 1 FROM w JOIN c ON c.source = w.id WHERE w.depth < 4)
+c AS (SELECT DISTINCT source, target, kind FROM e WHERE target IS NOT NULL AND coalesce(confidence, 'confirmed') <> 'unresolved'),
+seed AS (SELECT id FROM n WHERE kind IN ('route', 'worker_task')),
+start AS (SELECT id FROM seed UNION SELECT source FROM c WHERE kind IN ('enqueues', 'consumes') AND target IN (SELECT id FROM seed)),
+w AS (SELECT id, 0 AS depth FROM start UNION SELECT c.target, w.depth + 1 FROM w JOIN c ON c.source = w.id WHERE w.depth < 4 AND c.kind IN ({_names(vocabulary.FLOW_KINDS)}))
 SELECT id, min(depth)::INT AS depth FROM w GROUP BY id""")
 def entrypoint_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What entrypoints reach in four steps, begun at them and at what enqueues or consumes into them."""
+    edges, settle, start, depth = _flow(spark, sf_dir, 4)
+    return traverse.reach_nodes(edges, start, depth, settle=settle)
+
+
+@query(f"""RECURSIVE
+c AS (SELECT DISTINCT source, target, kind FROM e WHERE target IS NOT NULL AND coalesce(confidence, 'confirmed') <> 'unresolved'),
+seed AS (SELECT id FROM n WHERE kind IN ('route', 'worker_task')),
+start AS (SELECT id FROM seed UNION SELECT source FROM c WHERE kind IN ('enqueues', 'consumes') AND target IN (SELECT id FROM seed)),
+w AS (SELECT id, 0 AS depth FROM start UNION SELECT c.target, w.depth + 1 FROM w JOIN c ON c.source = w.id WHERE w.depth < 2 AND c.kind IN ({_names(vocabulary.FLOW_KINDS)})),
+d AS (SELECT id, min(depth) AS depth FROM w GROUP BY id)
+SELECT 2 AS depth, 'max_depth' AS reason, count(*)::BIGINT AS n FROM c JOIN d ON d.id = c.source AND d.depth = 2
+WHERE c.kind IN ({_names(vocabulary.FLOW_KINDS)}) HAVING count(*) > 0""")
+def entrypoint_flow_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two steps leave anything of the flow out."""
+    edges, settle, start, depth = _flow(spark, sf_dir, 2)
+    return traverse.walk(edges, start, depth, settle=settle)[2]
+
+
+def _flow(spark: SparkSession, sf_dir: str, depth: int) -> tuple:
+    """Edges, their settling, where the flow starts, and how far it goes."""
     g = load(spark, sf_dir)
-    seeds = g.nodes.where(F.col("kind").isin("route", "worker_task"))
-    return traverse.reach(filters.by_kind(g.edges, vocabulary.FLOW_KINDS), seeds, 4)[0]
+    seeds = g.nodes.where(F.col("kind").isin("route", "worker_task")).select("id")
+    settle = g.settle("review_default")
+    feeding = settle(g.deliveries.where("kind IN ('enqueues', 'consumes')").join(seeds.withColumnRenamed("id", "target"), "target", "left_semi"))
+    start = seeds.unionByName(feeding.select(F.col("source").alias("id")))
+    return filters.by_kind(g.deliveries, vocabulary.FLOW_KINDS), settle, start, min(depth, vocabulary.DEPTH_CAP)
 
 
 @query("SELECT target AS endpoint, kind, count(*)::BIGINT AS n_edges FROM e WHERE target IS NOT NULL GROUP BY ALL ORDER BY n_edges DESC, endpoint, kind LIMIT 20")
@@ -369,7 +421,7 @@ p AS (SELECT source AS a, target AS b FROM e WHERE kind = 'similar_to' AND targe
 r AS (SELECT a AS id, a AS o FROM p UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.o)
 SELECT id, min(o) AS component FROM r GROUP BY id""")
 def similarity_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.components(load(spark, sf_dir).edges.where("kind = 'similar_to'"))
+    return traverse.components(load(spark, sf_dir).deliveries.where("kind = 'similar_to'"))
 
 
 @query("""RECURSIVE
@@ -377,8 +429,20 @@ c AS (SELECT DISTINCT source, target FROM e WHERE kind = 'imports' AND starts_wi
 r AS (SELECT source AS id, target AS o FROM c UNION SELECT r.id, c.target FROM r JOIN c ON c.source = r.o)
 SELECT r.id, min(r.o) AS component FROM r JOIN r s ON s.id = r.o AND s.o = r.id GROUP BY r.id""")
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = load(spark, sf_dir).edges.where("kind = 'imports' AND startswith(source, 'mod:') AND startswith(target, 'mod:')")
-    return traverse.strong_components(edges.select("source", "target"))
+    edges = load(spark, sf_dir).deliveries.where("kind = 'imports' AND startswith(source, 'mod:') AND startswith(target, 'mod:')")
+    return traverse.strong_components(edges)
+
+
+@query("""RECURSIVE
+c AS (SELECT DISTINCT source, target FROM e WHERE kind IN ('contains', 'defines') AND source IS NOT NULL AND target IS NOT NULL),
+t AS (SELECT id FROM (SELECT source AS id FROM c UNION SELECT target FROM c) WHERE id NOT IN (SELECT target FROM c)
+  UNION SELECT c.target FROM t JOIN c ON c.source = t.id),
+k AS (SELECT * FROM c WHERE source NOT IN (SELECT id FROM t)),
+r AS (SELECT source AS id, target AS o FROM k UNION SELECT r.id, k.target FROM r JOIN k ON k.source = r.o)
+SELECT r.id, min(r.o) AS component FROM r JOIN r s ON s.id = r.o AND s.o = r.id GROUP BY r.id""")
+def containment_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that hold themselves by way of contains and defines, by cycle."""
+    return traverse.strong_components(load(spark, sf_dir).deliveries.where("kind IN ('contains', 'defines')"))
 
 
 @query("""
@@ -405,7 +469,7 @@ SELECT from_module, to_module, sum(c)::BIGINT AS n_edges, sum(w)::BIGINT / 10000
        arg_max(conf, (c, -{_case('conf', {c: i for i, c in enumerate(vocabulary.LAYOUT_ORDER)}, 5)})) AS dominant
 FROM l GROUP BY ALL""")
 def module_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = load(spark, sf_dir)
+    g = load(spark, sf_dir, nodes="id repo_id", edges="id source target kind confidence")
     return aggregate.module_graph(g.edges, g.nodes.where("repo_id IS NOT NULL").select("id", F.col("repo_id").alias("module")))
 
 
@@ -414,7 +478,7 @@ def module_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHERE kind NOT IN ({_names(vocabulary.LAYOUT_EXCLUDED_EDGES)}))
 SELECT id, sum(w)::BIGINT / 10000 AS degree FROM x WHERE id IS NOT NULL GROUP BY id HAVING sum(w) >= 50000 ORDER BY degree DESC, id LIMIT 400""")
 def symbol_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.weighted_degree(load(spark, sf_dir).edges)
+    return aggregate.weighted_degree(load(spark, sf_dir, edges="id source target kind confidence").edges)
 
 
 @query("""
@@ -422,7 +486,7 @@ def symbol_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT coalesce(f.source_root, 'external') AS source_root, n.kind, count(*)::BIGINT AS n_nodes FROM n LEFT JOIN f USING (path) GROUP BY ALL""")
 def system_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "files").select(F.regexp_replace("path", r"^(\./)+", "").alias("path"), "source_root").distinct()
-    joined = load(spark, sf_dir).nodes.join(files, "path", "left")
+    joined = load(spark, sf_dir, nodes="id kind path").nodes.join(files, "path", "left")
     return joined.groupBy(F.coalesce("source_root", F.lit("external")).alias("source_root"), "kind").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
@@ -436,7 +500,7 @@ SELECT a.k AS from_kind, b.k AS to_kind, count(*)::BIGINT AS n_edges,
 FROM e JOIN k a ON a.id = e.source JOIN k b ON b.id = e.target
 WHERE e.kind = 'imports' AND {_case('b.k', _LAYERS, -1)} > {_case('a.k', _LAYERS, 99)} GROUP BY ALL""")
 def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = load(spark, sf_dir)
+    g = load(spark, sf_dir, nodes="id kind path")
     order = lambda c, other: vocabulary.lookup(F.col(c), _LAYERS, other)
     joined = (
         g.edges.where("kind = 'imports'").select("source", "target")
@@ -448,32 +512,18 @@ def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""
-, changed AS (SELECT DISTINCT 'mod:' || module AS id FROM files WHERE module IS NOT NULL AND index_version = (SELECT max(index_version) FROM files))
-, dep AS (SELECT DISTINCT source, target FROM e WHERE kind = 'imports' AND target IS NOT NULL)
-, one AS (SELECT source AS id FROM dep WHERE target IN (SELECT id FROM changed))
-, two AS (SELECT source AS id FROM dep WHERE target IN (SELECT id FROM one))
-SELECT id, min(depth)::INT AS depth FROM (SELECT id, 0 AS depth FROM changed UNION ALL SELECT id, 1 FROM one UNION ALL SELECT id, 2 FROM two) GROUP BY id""")
-def dependent_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modules changed by the newest build and what imports them, two steps up."""
-    files = table(spark, sf_dir, "files")
-    newest = files.agg(F.max("index_version").alias("index_version"))
-    changed = files.join(F.broadcast(newest), "index_version").select(F.concat(F.lit("mod:"), F.col("module")).alias("id"))
-    return traverse.reach(load(spark, sf_dir).edges.where("kind = 'imports'"), changed, 2, reverse=True)[0]
-
-
 @query("""RECURSIVE
 changed AS (SELECT DISTINCT 'mod:' || module AS id FROM files WHERE module IS NOT NULL AND index_version = (SELECT max(index_version) FROM files))
 , dep AS (SELECT DISTINCT source, target FROM e WHERE kind = 'imports' AND target IS NOT NULL)
 , walk AS (SELECT id, 0 AS depth FROM changed
   UNION SELECT d.source, w.depth + 1 FROM walk w JOIN dep d ON d.target = w.id WHERE w.depth < (SELECT count(DISTINCT source) FROM dep))
 SELECT id, min(depth)::INT AS depth FROM walk GROUP BY id""")
-def dependent_closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dependent_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules changed by the newest build and all that imports them, until nothing new is met."""
     files = table(spark, sf_dir, "files")
     newest = files.agg(F.max("index_version").alias("index_version"))
     changed = files.join(F.broadcast(newest), "index_version").select(F.concat(F.lit("mod:"), F.col("module")).alias("id"))
-    return traverse.reach(load(spark, sf_dir).edges.where("kind = 'imports'"), changed, 2**31 - 1, reverse=True)[0]
+    return traverse.reach_nodes(load(spark, sf_dir).deliveries.where("kind = 'imports'"), changed, 2**31 - 1, reverse=True)
 
 
 @query("""
@@ -481,7 +531,7 @@ def dependent_closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT kind, count(*)::BIGINT AS n_edges FROM e WHERE source IN (SELECT id FROM live) AND source NOT IN (SELECT id FROM born)
   AND target IS NOT NULL AND target NOT IN (SELECT id FROM live) GROUP BY kind""")
 def stale_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = load(spark, sf_dir)
+    g = load(spark, sf_dir, nodes="id")
     born = table(spark, sf_dir, "nodes").where("first_indexed_at >= TIMESTAMP_NTZ '2026-05-01'").select("id")
     return deltas.stale_targets(g.edges, g.nodes, born).groupBy("kind").agg(F.count(F.lit(1)).alias("n_edges"))
 
@@ -498,7 +548,7 @@ def stale_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 c(category, risk, blocking) AS (VALUES {", ".join(f"('{c}', '{r}', {b})" for c, (r, b) in triage.CATEGORIES.items())})
 SELECT c.category, c.risk, c.blocking, (SELECT count(*) FROM x WHERE x.category = c.category)::BIGINT AS n_calls FROM c""")
 def unresolved_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = load(spark, sf_dir).edges.where(F.coalesce("resolution_status", F.lit("")) != "resolved")
+    edges = load(spark, sf_dir, edges="id target kind resolution_status").edges.where(F.coalesce("resolution_status", F.lit("")) != "resolved")
     return triage.triage_counts(edges, "target", "kind", "resolution_status")
 
 
@@ -526,7 +576,7 @@ def _lines(spark: SparkSession, sf_dir: str, kind: str | None = None) -> DataFra
 , p AS (SELECT DISTINCT v.path AS path, v.start_line AS line FROM (SELECT unnest(evidence) AS v FROM edges) WHERE v.kind = 'coverage_json')
 SELECT n.id, count(DISTINCT p.line)::BIGINT AS n_lines FROM n JOIN p ON p.path = n.path AND p.line BETWEEN n.start_line AND coalesce(n.end_line, n.start_line) GROUP BY n.id""")
 def coverage_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = load(spark, sf_dir).nodes.select("id", "path", "start_line", "end_line")
+    nodes = load(spark, sf_dir, nodes="id path start_line end_line").nodes.select("id", "path", "start_line", "end_line")
     held = intervals.containing(_lines(spark, sf_dir, "coverage_json"), nodes, "path", "line", "start_line", "end_line")
     return held.groupBy("id").agg(F.countDistinct("line").alias("n_lines"))
 
@@ -538,7 +588,7 @@ h AS (SELECT p.path, p.line, n.id, coalesce(n.end_line, n.start_line) - n.start_
 b AS (SELECT path, line, count(DISTINCT id) AS c, min(id) AS id FROM h WHERE w = (SELECT min(w) FROM h g WHERE g.path = h.path AND g.line = h.line) GROUP BY ALL)
 SELECT path, line, CASE WHEN c = 1 THEN id END AS "match", CASE WHEN c = 1 THEN 'matched' ELSE 'ambiguous' END AS match_state, c::BIGINT AS n_matches FROM b""")
 def narrowest_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = load(spark, sf_dir).nodes.select("id", "path", "start_line", "end_line")
+    nodes = load(spark, sf_dir, nodes="id path start_line end_line").nodes.select("id", "path", "start_line", "end_line")
     return intervals.narrowest(_lines(spark, sf_dir), nodes, "path", "line", "start_line", "end_line", ["path", "line"], "id")
 
 
@@ -547,7 +597,7 @@ def narrowest_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 f AS (SELECT DISTINCT regexp_replace(path, '^(\\./)+', '') AS path FROM files)
 SELECT f.path, arg_max(pk.d, length(pk.d)) AS parent FROM f LEFT JOIN pk ON f.path = pk.d OR starts_with(f.path, pk.d || '/') GROUP BY f.path""")
 def package_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packages = load(spark, sf_dir).nodes.where("kind = 'package' AND path IS NOT NULL").select(F.regexp_replace("path", r"/__init__\.py$", "").alias("folder"))
+    packages = load(spark, sf_dir, nodes="id kind path").nodes.where("kind = 'package' AND path IS NOT NULL").select(F.regexp_replace("path", r"/__init__\.py$", "").alias("folder"))
     files = table(spark, sf_dir, "files").select(F.regexp_replace("path", r"^(\./)+", "").alias("path"))
     return intervals.longest_prefix(files, "path", packages, "folder")
 
@@ -558,7 +608,7 @@ SELECT e.id, (SELECT arg_max(s.conf, s.created_at) FROM s WHERE s.node_id = e.so
 FROM e WHERE kind = 'calls'""")
 def latest_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each call with the confidence of its source's latest fact before it."""
-    calls = load(spark, sf_dir).edges.where("kind = 'calls'").select("id", F.col("source").alias("node_id"), "created_at")
+    calls = load(spark, sf_dir, edges="id source kind created_at").edges.where("kind = 'calls'").select("id", F.col("source").alias("node_id"), "created_at")
     facts = table(spark, sf_dir, "semantic_facts").where("confidence IS NOT NULL").select("node_id", F.col("created_at").alias("since"), F.col("confidence").alias("fact_confidence"))
     return intervals.as_of(calls, facts, "node_id", "created_at", "since", "fact_confidence").select("id", "fact_confidence")
 
@@ -634,7 +684,7 @@ x AS (SELECT d.repo_id, d.dep, list_sort(list_distinct(list(a.repo_id))) AS foun
 SELECT repo_id, dep AS dependency, CASE WHEN len(found) = 1 THEN found[1] END AS provider, CASE WHEN len(found) = 1 THEN 'hint' ELSE 'ambiguous' END AS state, len(found)::BIGINT AS n_candidates FROM x""")
 def workspace_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which repository may provide what another one imports, by names and parts of names."""
-    g = load(spark, sf_dir)
+    g = load(spark, sf_dir, nodes="id repo_id")
     repos = g.nodes.where("repo_id IS NOT NULL").select("repo_id").distinct()
     alias = F.array_distinct(F.array("repo_id", F.split_part("repo_id", F.lit("-"), F.lit(2)), F.split_part("repo_id", F.lit("-"), F.lit(1))))
     aliases = repos.select(F.col("repo_id").alias("provider"), F.explode(alias).alias("alias"))
@@ -661,7 +711,7 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = load(spark, sf_dir).nodes.where("kind IN ('function', 'method', 'class') AND qualname IS NOT NULL")
+    nodes = load(spark, sf_dir, nodes="id kind qualname repo_id").nodes.where("kind IN ('function', 'method', 'class') AND qualname IS NOT NULL")
     words = F.regexp_replace("qualname", r"([a-z0-9])([A-Z])", "$1 $2")
     return nodes.select("id", F.concat_ws("|", "repo_id", "kind").alias("block"), similar.grams(F.regexp_replace(words, r"[._0-9]+", " "), 2).alias("members"))
 
@@ -704,7 +754,7 @@ def occurrence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT id, kind, name, greatest(0, (SELECT count(*) FROM n WHERE kind = 'class') - 200)::BIGINT AS n_omitted FROM n WHERE kind = 'class' ORDER BY name NULLS FIRST, id LIMIT 200""")
 def bounded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = load(spark, sf_dir).nodes.where("kind = 'class'").select("id", "kind", "name")
+    classes = load(spark, sf_dir, nodes="id kind name").nodes.where("kind = 'class'").select("id", "kind", "name")
     return aggregate.bounded(classes, ["name", "id"], 200).select("id", "kind", "name", F.col("n_omitted").cast("bigint").alias("n_omitted"))
 
 
@@ -712,7 +762,7 @@ def bounded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 , b AS (SELECT id, repo_id, sum(octet_length(encode(id))) OVER (PARTITION BY repo_id ORDER BY id ROWS UNBOUNDED PRECEDING)::BIGINT AS bytes_upto FROM n WHERE repo_id IS NOT NULL)
 SELECT id, repo_id, bytes_upto FROM b WHERE bytes_upto <= 32768""")
 def byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = load(spark, sf_dir).nodes.where("repo_id IS NOT NULL").select("id", "repo_id")
+    nodes = load(spark, sf_dir, nodes="id repo_id").nodes.where("repo_id IS NOT NULL").select("id", "repo_id")
     return aggregate.byte_budget(nodes, "repo_id", "id", "id", 32 * 1024)
 
 
@@ -721,7 +771,7 @@ SELECT 'nodes only' AS side, count(*)::BIGINT AS n_paths FROM (SELECT path FROM
 UNION ALL SELECT 'files only', count(*)::BIGINT FROM (SELECT regexp_replace(path, '^(\\./)+', '') FROM files EXCEPT SELECT path FROM n)
 UNION ALL SELECT 'both', count(*)::BIGINT FROM (SELECT path FROM n INTERSECT SELECT regexp_replace(path, '^(\\./)+', '') FROM files)""")
 def path_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mine = load(spark, sf_dir).nodes.where("path IS NOT NULL").select("path").distinct()
+    mine = load(spark, sf_dir, nodes="id path").nodes.where("path IS NOT NULL").select("path").distinct()
     theirs = table(spark, sf_dir, "files").select(F.regexp_replace("path", r"^(\./)+", "").alias("path")).distinct()
     both = mine.withColumn("a", F.lit(1)).join(theirs.withColumn("b", F.lit(1)), "path", "full_outer")
     side = F.when(F.col("b").isNull(), "nodes only").when(F.col("a").isNull(), "files only").otherwise("both")
@@ -756,5 +806,5 @@ WITH s AS (SELECT id, created_at, max(created_at) OVER (ORDER BY id ROWS BETWEEN
 SELECT id, created_at FROM s WHERE top - created_at > INTERVAL 150 DAY""", graph=False)
 def late_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges more than 150 days behind the latest before them in order of id."""
-    edges = load(spark, sf_dir).edges.select("id", "created_at")
+    edges = load(spark, sf_dir, edges="id created_at").edges.select("id", "created_at")
     return windows.late_events(edges, "created_at", "id", 150 * 86_400).select("id", "created_at")

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import vocabulary
-from skein.graph import load
+from skein.graph import load, once
 from skein.operators import deltas, filters, traverse
 from skein.plans.graphs import GRAPH, _names
-from skein.runtime import table
+from skein.runtime import Stage, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -43,10 +43,11 @@ UNION ALL SELECT 'unresolved', e.kind, count(DISTINCT e.id)::BIGINT FROM e JOIN
 def impact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a change of tables and queues reaches, and what bears on it there."""
     g = load(spark, sf_dir)
-    walk = filters.by_profile(filters.by_kind(g.edges, vocabulary.CALL_KINDS), "review_default")
-    hit = traverse.reach(walk, g.nodes.where("kind IN ('table', 'queue')"), 3, reverse=True)[0].select("id").distinct()
-    into = g.edges.join(hit.withColumnRenamed("id", "target"), "target", "left_semi")
-    outof = g.edges.join(hit.withColumnRenamed("id", "source"), "source", "left_semi")
+    calls = filters.by_kind(g.deliveries, vocabulary.CALL_KINDS)
+    hit = traverse.reach_nodes(calls, g.nodes.where("kind IN ('table', 'queue')"), 3, reverse=True, settle=g.settle("review_default")).select("id")
+    hit = Stage(spark, "impact").put(hit.distinct(), "hit")
+    into = g.deliveries.where("kind IN ('invokes', 'covers')").join(hit.withColumnRenamed("id", "target"), "target", "left_semi")
+    outof = once(g.deliveries.join(hit.withColumnRenamed("id", "source"), "source", "left_semi"), ["id", "target", "kind", "resolution_status"])
     kinds = g.nodes.select("id", "kind")
 
     def section(name: str, df: DataFrame, kind: str, what: Column) -> DataFrame:
@@ -88,7 +89,7 @@ def entrypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT x.target, count(*)::BIGINT AS n_places, count(DISTINCT x.path)::BIGINT AS n_files FROM x JOIN n ON n.id = x.target WHERE n.kind IN ('class', 'interface') GROUP BY x.target""")
 def symbol_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct places at which classes and interfaces are referred to."""
-    g = load(spark, sf_dir, evidence=True)
+    g = load(spark, sf_dir, edges="id target kind evidence")
     places = g.edges.select("target", "kind", F.explode("evidence").alias("v")).where("v IS NOT NULL").select("target", "kind", "v.path", F.col("v.start_line").alias("line")).distinct()
     asked = g.nodes.where("kind IN ('class', 'interface')").select(F.col("id").alias("target"))
     return places.join(asked, "target", "left_semi").groupBy("target").agg(F.count(F.lit(1)).alias("n_places"), F.countDistinct("path").alias("n_files"))

@@ -322,7 +322,32 @@ def test_windows(spark):
 
 def test_dependent_closure_goes_on_until_nothing_is_new(spark, monkeypatch):
     links = [(f"mod:m{i + 1}", f"mod:m{i}") for i in range(5)] + [("mod:m0", "mod:m3")]
-    held = SimpleNamespace(edges=edges(spark, links, kind="imports"))
+    held = SimpleNamespace(deliveries=edges(spark, links, kind="imports"))
     monkeypatch.setattr(graphs, "load", lambda *_: held)
     monkeypatch.setattr(graphs, "table", lambda *_: spark.createDataFrame([("m0", 2), ("old", 1)], "module string, index_version int"))
-    assert rows(graphs.dependent_closure_all(spark, "")) == [(f"mod:m{i}", i) for i in range(6)]
+    assert rows(graphs.dependent_closure(spark, "")) == [(f"mod:m{i}", i) for i in range(6)]
+
+
+def test_walk_tells_what_it_leaves_out(spark):
+    hub = edges(spark, [(f"s{i:03d}", "hub") for i in range(201)])
+    nodes, walked, cuts = traverse.walk(hub, seeds(spark, "hub"), 1, reverse=True, fan_cap=200, edge_cap=5000)
+    assert (nodes.count(), walked.count(), rows(cuts)) == (201, 200, [(1, "max_fan_in", 1)])
+    full = edges(spark, [(f"s{i:03d}", "hub") for i in range(200)])
+    assert rows(traverse.walk(full, seeds(spark, "hub"), 3, reverse=True, fan_cap=200, edge_cap=5000)[2]) == []  # exactly full is not cut
+    assert rows(traverse.walk(full, seeds(spark, "hub"), 3, reverse=True, edge_cap=150)[2]) == [(1, "max_edges", 50)]
+    chain = edges(spark, [("a", "b"), ("b", "c"), ("c", "d")])
+    assert rows(traverse.walk(chain, seeds(spark, "a"), 2)[2]) == [(2, "max_depth", 1)]
+    assert rows(traverse.walk(chain, seeds(spark, "a"), 3)[2]) == []
+    assert rows(traverse.walk(chain, seeds(spark, "a"), 3, edge_cap=1)[2]) == [(2, "max_edges", 1)]
+
+
+def test_one_row_of_an_id_whatever_columns_are_asked(spark):
+    data = [("a", "x", "p", "m"), ("a", "x", "p", "n"), ("a", "unresolved", "a", "a"), ("b", None, None, None), ("b", None, None, None)]
+    df = spark.createDataFrame(data, "id string, kind string, path string, name string")
+    rank = (F.col("kind") == "unresolved").cast("int")
+    pick = lambda *wanted: rows(merge.first_by_order(df, ["id"], ["kind", "path", "name"], list(wanted), F.coalesce(rank, F.lit(0))))
+    assert pick("id", "name") == [("a", "m"), ("b", None)]
+    assert pick("id", "kind") == [("a", "x"), ("b", None)]
+    assert pick("id") == [("a",), ("b",)]
+    shared = spark.createDataFrame([("config:env:HOME", "config", "f.py", "HOME", '{"key":"HOME"}')], "id string, kind string, path string, name string, properties_json string")
+    assert rows(merge.canonical_config(shared)) == [("config:env:HOME", "config", None, "env:HOME", '{"config_kind":"env","key":"HOME"}')]
