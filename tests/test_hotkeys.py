@@ -16,7 +16,7 @@ def test_counts_match_brute_force_with_a_hot_key(spark):
     ids = defaultdict(set)
     for i, t, k, _ in data:
         ids[t, k].update(() if i is None else (i,))
-    got = rows(dense_key_counts(df, ["target", "kind"], "id", block_rows=500))
+    got = rows(dense_key_counts(df, ["target", "kind"], "id", split_rows=40))
     assert got == sorted([(*k, len(v)) for k, v in ids.items()], key=repr)
     total = len(set().union(*ids.values()))
     assert rows(heavy_keys(df, ["target", "kind"], "id", 10).select("target", "kind")) == sorted(
@@ -33,3 +33,22 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "id bigint, target string, kind string")
     assert dense_key_counts(df, ["target", "kind"], "id").count() == 0
     assert heavy_keys(df, ["target", "kind"], "id").count() == 0
+
+
+def test_tree_of_sums_and_text_ids(spark, monkeypatch):
+    from skein.operators import hotkeys
+
+    monkeypatch.setattr(hotkeys, "FAN_IN", 3)
+    data = [(f"i{i % 700}", "hot" if i % 3 else str(i % 7), "k") for i in range(2000)]
+    ids = defaultdict(set)
+    for i, t, k in data:
+        ids[t, k].add(i)
+    df = spark.createDataFrame(data, "id string, target string, kind string")
+    assert rows(dense_key_counts(df, ["target", "kind"], "id", split_rows=50)) == sorted([(*k, len(v)) for k, v in ids.items()], key=repr)
+
+
+def test_layout_splits_only_what_is_large():
+    from skein.operators.hotkeys import layout
+
+    assert layout({0: 3, 1: 4, 5: 25, 7: 2, 8: 9}, 10) == [(0, 0, 1), (1, 0, 1), (5, 1, 3), (7, 2, 1), (8, 3, 1)]
+    assert layout({}, 10) == []
