@@ -203,8 +203,9 @@ def _target(spark: SparkSession, sf_dir: str) -> IncrementalTarget:
     runs = successful_runs(spark, sf_dir)
     if runs:
         sliced = stage.put(run_slices(source_records(spark, sf_dir), runs), "slices", partition_by="slice")
+        sizes = {r["slice"]: r["count"] for r in sliced.groupBy("slice").count().collect()}  # a row per run
         for i, (run_no, _) in enumerate(runs):
-            target.process(run_no, sliced.where(F.col("slice") == i).drop("slice"))
+            target.process(run_no, sliced.where(F.col("slice") == i).drop("slice"), sizes.get(i, 0))
     return target
 
 

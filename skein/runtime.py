@@ -98,6 +98,12 @@ class Fs:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path)))
 
+    def ages(self, path: str) -> list[tuple[str, float]]:
+        """(name, seconds since the epoch of its last change) of what a folder holds."""
+        if not self.exists(path):
+            return []
+        return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in self._fs.listStatus(self._path(path))]
+
     def read_text(self, path: str) -> str:
         stream = self._fs.open(self._path(path))
         try:

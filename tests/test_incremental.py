@@ -51,3 +51,29 @@ def test_empty_runs(spark, tmp_path):
     target.process(2, none)
     assert target.rows().count() == 0 and target.manifest()["runs"] == [1, 2]
     assert run_slices(none, [(1, D(1))]).count() == 0
+
+
+def test_given_all_again_each_run_takes_only_what_is_new(spark, tmp_path):
+    data = [("f", str(i % 40), str(i % 3), D(i), D(i)) for i in range(200)] + [("f", "3", "x", D(2), D(150))]
+    df = spark.createDataFrame(data, SCHEMA)
+    runs = [(n, D(10 + 37 * n)) for n in range(6)]
+    sliced, whole = (IncrementalTarget(spark, str(tmp_path / n), 2) for n in ("a", "b"))
+    slices = run_slices(df, runs)
+    for i, (run, cutoff) in enumerate(runs):
+        sliced.process(run, slices.where(F.col("slice") == i).drop("slice"), slices.where(F.col("slice") == i).count())
+        whole.process(run, df.where(F.col("arrived_at") <= F.lit(cutoff)))
+    assert found(sliced) == found(whole) and len(found(whole)) > 100
+
+
+def test_compacted_parts_hold_the_same_rows_and_orphans_go(spark, tmp_path):
+    target = IncrementalTarget(spark, str(tmp_path / "t"), 2, compact_after=3, keep_s=0)
+    one = lambda i: spark.createDataFrame([("f", str(i % 2), str(i), D(i), D(i))], SCHEMA)
+    target.process(0, one(0))
+    with pytest.raises(RuntimeError):
+        target.process(1, one(1), fail_before_publish=True)
+    for i in range(1, 5):
+        target.process(i, one(i))
+    assert found(target) == [(i, str(i % 2)) for i in range(5)]
+    assert len(target.manifest()["parts"]) < 3 and target.manifest()["runs"] == list(range(5))
+    assert len(list((tmp_path / "t" / "parts").iterdir())) <= 5  # the failed run's part is gone
+    assert not target.process(3, one(9))
