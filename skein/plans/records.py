@@ -131,7 +131,7 @@ def p4_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 5. orphans -------------------------------------------------------------------
 
 
-def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orphans(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
     edges, facts = table(spark, sf_dir, "edges"), table(spark, sf_dir, "semantic_facts")
     ends = F.explode(
         F.array(
@@ -154,12 +154,12 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     lives = references.lifetimes(table(spark, sf_dir, "nodes"), "id", "first_indexed_at", "retired_at").unionByName(
         references.lifetimes(table(spark, sf_dir, "external_nodes"), "id", "first_indexed_at", None)
     )
-    return references.orphans(refs, lives)
+    return references.orphans(refs, lives, distinct)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        _orphans(spark, sf_dir)
+        _orphans(spark, sf_dir, distinct=False)
         .select("referrer", "record_key", "ref_column", "reason", F.date_format("at", "yyyy-MM").alias("ref_month"))
         .distinct()
     )

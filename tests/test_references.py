@@ -1,5 +1,8 @@
 from datetime import datetime, timedelta
 
+import pytest
+
+from skein.operators import references
 from skein.operators.references import lifetimes, orphan_counts, orphans
 from tests.conftest import rows
 
@@ -15,7 +18,10 @@ def lives(spark, data=NODES):
     return lifetimes(spark.createDataFrame(data, "id string, since timestamp_ntz, until timestamp_ntz"), "id", "since", "until")
 
 
-def test_reasons(spark):
+@pytest.mark.parametrize("few,hot", [(10**6, 10), (0, 4), (0, 10**9)])
+def test_reasons(spark, monkeypatch, few, hot):
+    monkeypatch.setattr(references, "FEW", few)
+    monkeypatch.setattr(references, "HOT", hot)
     data = [
         ("e", "1", "s", "a", D(1), ""), ("e", "2", "s", "b", D(9), ""), ("e", "3", "s", "b", D(10), ""), ("e", "4", "s", "b", D(15), ""),
         ("e", "5", "s", "b", D(20), ""), ("e", "6", "s", "c", D(4), ""), ("e", "7", "s", "c", D(5), ""), ("e", "8", "s", "zz", D(5), ""),
