@@ -17,10 +17,14 @@ column a record does not have at all is one missing entry, and is left out.
 from __future__ import annotations
 
 import json
+import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,21 +33,89 @@ MISSING, NULL, SCALAR, ARRAY, OBJECT = range(5)
 _ABSENT = object()
 
 
+sys.set_int_max_str_digits(0)  # JSON sets no bound to a number's digits
+_SPACE = re.compile(r"[ \t\n\r]*")
+_ATOM = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null")
+
+
 def _refuse(text: str):
     raise ValueError(f"{text} is not JSON")
 
 
+def _parse_deep(text: str):
+    """The value of a JSON text of any depth, with a stack of its own."""
+    at, held, key = _SPACE.match(text).end(), [], None  # held: (container, member name it goes to)
+    top: list = []
+    into, closing = top, ""
+    while True:
+        c = text[at : at + 1]
+        if c and c in "{[":
+            value: object = {} if c == "{" else []
+            after = _SPACE.match(text, at + 1).end()
+            if text[after : after + 1] == ("}" if c == "{" else "]"):
+                at = after + 1
+            else:
+                held.append((into, key, closing))
+                into, closing, key, at = value, "}" if c == "{" else "]", None, after
+                if c == "{":
+                    key, at = _member_name(text, at)
+                continue
+        elif c == '"':
+            value, at = json.decoder.scanstring(text, at + 1)
+        else:
+            m = _ATOM.match(text, at)
+            if not m or not m[0]:
+                raise ValueError(f"no JSON at {at}")
+            value, at = json.loads(m[0]), m.end()
+        while True:  # the value is whole: put it away, and every container that ends with it
+            if isinstance(into, dict):
+                into[key] = value
+            else:
+                into.append(value)
+            at = _SPACE.match(text, at).end()
+            if into is top:
+                if at != len(text):
+                    raise ValueError(f"more than one value, at {at}")
+                return value
+            c, at = text[at : at + 1], at + 1
+            if c == ",":
+                at = _SPACE.match(text, at).end()
+                if closing == "}":
+                    key, at = _member_name(text, at)
+                break
+            if c != closing:
+                raise ValueError(f"neither , nor {closing} at {at - 1}")
+            value = into
+            into, key, closing = held.pop()
+
+
+def _member_name(text: str, at: int) -> tuple[str, int]:
+    if text[at : at + 1] != '"':
+        raise ValueError(f"no member name at {at}")
+    name, at = json.decoder.scanstring(text, at + 1)
+    at = _SPACE.match(text, at).end()
+    if text[at : at + 1] != ":":
+        raise ValueError(f"no : at {at}")
+    return name, _SPACE.match(text, at + 1).end()
+
+
 def parse_json(text: str | None):
     """The value of a JSON text, or ``_ABSENT`` where it is none.
 
-    NaN and Infinity are not JSON. A member named twice has its last value. A
-    text nested beyond what the parser can follow counts as no JSON.
+    NaN and Infinity are not JSON. A member named twice has its last value.
+    Neither depth nor the length of numbers is bounded.
     """
     if text is None:
         return _ABSENT
     try:
         return json.loads(text, parse_constant=_refuse)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        pass
+    except ValueError:
+        return _ABSENT
+    try:
+        return _parse_deep(text)
+    except ValueError:
         return _ABSENT
 
 
@@ -224,31 +296,81 @@ def json_objects(df: DataFrame, id_col: str, json_col: str, roots: tuple[str, ..
     return rows.where(F.col("text").isNotNull()).mapInPandas(run, _FLAT).distinct()
 
 
-def list_objects(df: DataFrame, id_col: str, list_col: str) -> DataFrame:
-    """As ``json_objects``, for a column ARRAY<STRUCT>.
+def _list_levels(list_col: str, leaf: str | None = None) -> list:
+    """The level columns reps, defs and entries of a column ARRAY<STRUCT>, or of one of its members.
 
-    Such a column is stored shredded already; its definition levels tell an
-    absent array (0), an empty one (1), a null element (2) and an object (3)
-    apart, and with a single array a row's repetition levels are 0, 1, 1, ....
-    All of it stays in the JVM. Only ids and positions are shuffled.
+    Repetition 0 opens a record, 1 goes on in its array. Definition 0: the
+    array is absent, 1: it is empty, 2: the element is null, 3: it is an
+    object, 4: its member is not null.
     """
-    levels = F.transform(F.col(list_col), lambda x: F.when(x.isNull(), 2).otherwise(3).cast("tinyint"))
-    exploded = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.posexplode(levels).alias("pos", "def"))
-    kept = exploded.where("def = 3").select("record_id", "pos").distinct()
-    return kept.select(
-        "record_id",
-        F.concat(F.lit(f"{list_col}["), F.col("pos").cast("string"), F.lit("]")).alias("obj_path"),
-        F.lit(list_col).alias("parent_path"),
+    column = F.col(list_col)
+    full = F.coalesce(F.size(column), F.lit(0)) > 0
+    reps = F.when(full, F.transform(column, lambda x, i: F.when(i == 0, 0).otherwise(1).cast("tinyint"))).otherwise(F.array(F.lit(0).cast("tinyint")))
+    there = (lambda x: F.when(x[leaf].isNotNull(), 4).otherwise(3)) if leaf else (lambda x: F.lit(3))
+    defs = F.when(full, F.transform(column, lambda x: F.when(x.isNull(), 2).otherwise(there(x)).cast("tinyint"))).otherwise(
+        F.array(F.when(column.isNull(), 0).otherwise(1).cast("tinyint"))
     )
+    entries = F.when(full, F.transform(column, lambda x: x[leaf].cast("string"))).otherwise(F.array(F.lit(None).cast("string"))) if leaf else F.lit(None).cast("array<string>")
+    return [reps.alias("reps"), defs.alias("defs"), entries.alias("entries")]
+
+
+def _rebuild_lists(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(record_id, pos, value) of the entries at least ``least`` levels deep, from their levels."""
+    for batch in batches:
+        lists = batch.column("reps")
+        of = pc.list_parent_indices(lists).to_numpy()
+        reps, defs = (pc.list_flatten(batch.column(c)).to_numpy() for c in ("reps", "defs"))
+        kept = np.flatnonzero(defs >= least)
+        values = pc.list_flatten(batch.column("entries"))
+        values = values.take(pa.array(kept)) if len(values) else pa.nulls(len(kept), pa.string())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("record_id").take(pa.array(of[kept])), pa.array(positions(reps, defs, 1)[kept, 0].astype(np.int32)), values], ["record_id", "pos", "value"]
+        )
+
+
+def list_values(df: DataFrame, id_col: str, list_col: str, leaf: str | None = None) -> DataFrame:
+    """(record_id, pos, value) of every object of a column ARRAY<STRUCT>, or of every non-null member ``leaf``.
+
+    Each row's level sequence is made in the JVM; positions are rebuilt from
+    the sequences of a whole batch in numpy. Repeated rows count once, null
+    elements hold a position.
+    """
+    rows = df.select(F.col(id_col).cast("bigint").alias("record_id"), *_list_levels(list_col, leaf))
+    least = 4 if leaf else 3
+    return rows.mapInArrow(lambda batches: _rebuild_lists(batches, least), "record_id bigint, pos int, value string").distinct()
+
+
+def _at(list_col: str):
+    return F.concat(F.lit(f"{list_col}["), F.col("pos").cast("string"), F.lit("]"))
+
+
+def list_objects(df: DataFrame, id_col: str, list_col: str) -> DataFrame:
+    """As ``json_objects``, for a column ARRAY<STRUCT>, by the levels of its marker column."""
+    return list_values(df, id_col, list_col).select("record_id", _at(list_col).alias("obj_path"), F.lit(list_col).alias("parent_path"))
+
+
+def list_leaves(df: DataFrame, id_col: str, list_col: str, leaves: list[str]) -> DataFrame:
+    """As ``rebuild_leaves``, for members of a column ARRAY<STRUCT>."""
+    parts = [
+        list_values(df, id_col, list_col, leaf).select("record_id", _at(list_col).alias("obj_path"), F.lit(leaf).alias("field"), "value") for leaf in leaves
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+_COLUMN = "record_id bigint, steps array<string>, leaf boolean, reps array<int>, defs array<int>, entries array<string>"
 
 
 def shredded_columns(df: DataFrame, id_col: str, json_col: str, roots: tuple[str, ...]) -> DataFrame:
     """The level sequences themselves: one row per record and leaf path.
 
-    (record_id, leaf_path, max_def, reps, defs, entries). Marker columns end in
-    ``[]``; entries of leaf columns are JSON texts, null where nothing stands.
+    (record_id, steps, leaf, reps, defs, entries). ``steps`` is the path, null
+    for any element of an array; marker columns are no leaves, their entries
+    are kinds. Entries of leaf columns are JSON texts, null where nothing
+    stands. Repeated records count once.
     """
-    schema = "record_id bigint, leaf_path string, max_def int, reps array<int>, defs array<int>, entries array<string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -259,42 +381,43 @@ def shredded_columns(df: DataFrame, id_col: str, json_col: str, roots: tuple[str
                     continue
                 for root in roots:
                     value = record.get(root)
-                    if isinstance(value, str):
-                        value = parse_json(value)
-                    if value is _ABSENT or value is None:
+                    if isinstance(value, str) and (inner := parse_json(value)) is not _ABSENT:
+                        value = inner
+                    if value is None:
                         continue
                     for path, (reps, defs, entries) in shred(root, value).items():
                         leaf = path[-1] == ""
-                        steps = path[:-1] if leaf else path
-                        name = steps[0] + "".join("[]" if s is LIST else _member(s) for s in steps[1:])
-                        entries = entries if leaf else [str(k) for k in entries]
-                        out.append((record_id, name + ("=" if leaf else ""), len(steps), reps, defs, entries))
-            yield pd.DataFrame(out, columns=["record_id", "leaf_path", "max_def", "reps", "defs", "entries"])
+                        out.append((record_id, list(path[:-1] if leaf else path), leaf, reps, defs, entries if leaf else [str(k) for k in entries]))
+            yield pd.DataFrame(out, columns=["record_id", "steps", "leaf", "reps", "defs", "entries"])
 
     rows = df.select(F.col(id_col).cast("bigint").alias("record_id"), F.col(json_col).alias("text"))
-    return rows.where(F.col("text").isNotNull()).dropDuplicates().mapInPandas(run, schema)
+    return rows.where(F.col("text").isNotNull()).dropDuplicates().mapInPandas(run, _COLUMN)
 
 
 def rebuild_leaves(columns: DataFrame) -> DataFrame:
-    """Rows (record_id, leaf_path, at, value) from stored level sequences.
+    """Rows (record_id, obj_path, field, value) from stored level sequences.
 
-    ``at`` lists the positions along the path; entries below the path's full
-    definition level stand for something absent and give no row.
+    ``obj_path`` is the nearest enclosing object that is an element, or the
+    root, as ``json_objects`` spells it; ``field`` leads from there to the
+    scalar. A string is its text, any other scalar its JSON; a null member has
+    a null value. Entries below the path's full definition level stand for
+    something absent and give no row.
     """
-    schema = "record_id bigint, leaf_path string, at array<bigint>, value string"
+    schema = "record_id bigint, obj_path string, field string, value string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for record_id, name, full, reps, defs, entries in batch.itertuples(index=False):
-                depth = name.count("[]")
-                rows = positions(np.asarray(reps), np.asarray(defs), depth)
+            for record_id, steps, _, reps, defs, entries in batch.itertuples(index=False):
+                path = tuple(LIST if x is None else x for x in steps)
+                up = enclosing(path)
+                rows = positions(np.asarray(reps), np.asarray(defs), sum(x is LIST for x in path))
                 for i, (dfn, entry) in enumerate(zip(defs, entries)):
-                    if dfn == full and entry is not None:
-                        out.append((record_id, name, rows[i].tolist(), entry))
-            yield pd.DataFrame(out, columns=["record_id", "leaf_path", "at", "value"])
-
-    chosen = columns.select("record_id", "leaf_path", "max_def", "reps", "defs", "entries")
-    return chosen.where(F.col("leaf_path").endswith("=")).mapInPandas(run, schema)
-
-
+                    if dfn == len(path) and entry is not None:
+                        whole, above = spell(path, rows[i], len(path)), spell(path, rows[i], up)
+                        value = json.loads(entry)
+                        text = None if value is None else value if isinstance(value, str) else entry
+                        out.append((record_id, above, whole[len(above) :].removeprefix("."), text))
+            yield pd.DataFrame(out, columns=["record_id", "obj_path", "field", "value"])
+
+    return columns.where("leaf").select("record_id", "steps", "leaf", "reps", "defs", "entries").mapInPandas(run, schema)

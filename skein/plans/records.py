@@ -42,10 +42,27 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every scalar of every message, rebuilt from its column's levels."""
-    columns = shred.shredded_columns(table(spark, sf_dir, "lsp_messages"), "msg_id", "message", ("params", "result"))
-    return shred.rebuild_leaves(columns).select(
-        "record_id", "leaf_path", F.array_join(F.transform("at", lambda x: x.cast("string")), ".").alias("at"), "value"
+    """Every scalar of every message with the object it belongs to, rebuilt from its column's levels."""
+    return shred.rebuild_leaves(shred.shredded_columns(table(spark, sf_dir, "lsp_messages"), "msg_id", "message", ("params", "result")))
+
+
+def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields of the flat tables: scalars of messages and of edges' evidence, its kind among them."""
+    evidence = shred.list_leaves(table(spark, sf_dir, "edges"), "id", "evidence", ["kind", "path", "start_line"])
+    return p1_leaves(spark, sf_dir).withColumn("record_type", F.lit("message")).unionByName(evidence.withColumn("record_type", F.lit("edge")))
+
+
+def p1_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat tables: each object with its parent, the table it is in, and its fields as one JSON object.
+
+    table_path is obj_path with the positions left out, as ``result[].to.tags[]``.
+    """
+    found = p1_found(spark, sf_dir)
+    key = ["record_type", "record_id", "obj_path"]
+    fields = p1_values(spark, sf_dir).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("fields"))
+    return found.join(fields, key, "left").select(
+        *key, "parent_path", F.regexp_replace("obj_path", r"\[\d+\]", "[]").alias("table_path"), F.coalesce(F.size("fields"), F.lit(0)).alias("n_fields"),
+        F.to_json(F.map_from_entries("fields"), {"ignoreNullFields": "false"}).alias("fields"),
     )
 
 
@@ -242,6 +259,8 @@ def p7_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_leaves": p1_leaves,
+    "p1_values": p1_values,
+    "p1_objects": p1_objects,
     "p2_found": p2_found,
     "p2_counts": p2_counts,
     "p3_found": p3_found,

@@ -32,6 +32,54 @@ FROM (SELECT id, evidence, unnest(range(1, len(evidence) + 1)) AS i FROM edges)
 WHERE evidence[i] IS NOT NULL
 """
 
+_P1_LEAVES = """
+WITH RECURSIVE m AS (
+  SELECT DISTINCT msg_id, message AS text, try_cast(message AS JSON) AS j FROM lsp_messages WHERE json_valid(message)
+), roots AS (
+  SELECT msg_id, r.name AS obj, '' AS field,
+         CASE WHEN json_type(r.v) = 'VARCHAR' AND json_valid(r.v ->> '$') THEN (r.v ->> '$')::JSON ELSE r.v END AS v
+  FROM m, LATERAL (SELECT 'params' AS name, j -> '$.params' AS v UNION ALL SELECT 'result', j -> '$.result') r
+  WHERE json_type(j) = 'OBJECT'
+), walk AS (
+  SELECT msg_id, obj, field, v, false AS listed FROM roots WHERE json_type(v) <> 'NULL'
+  UNION ALL
+  SELECT w.msg_id,
+         CASE WHEN w.listed AND json_type(w.v) = 'OBJECT' THEN w.obj || CASE WHEN w.field = '' OR w.field LIKE '[%' THEN '' ELSE '.' END || w.field ELSE w.obj END,
+         CASE WHEN w.listed AND json_type(w.v) = 'OBJECT' THEN '' ELSE w.field END || CASE WHEN k.listed OR ((w.field = '' OR (w.listed AND json_type(w.v) = 'OBJECT')) AND NOT k.listed) THEN '' ELSE '.' END || k.step,
+         k.v, k.listed
+  FROM walk w, LATERAL (
+    SELECT e.k AS step, json_extract(w.v, '$."' || e.k || '"') AS v, false AS listed
+    FROM (SELECT unnest(json_keys(w.v)) AS k WHERE json_type(w.v) = 'OBJECT') e
+    UNION ALL
+    SELECT '[' || i || ']', json_extract(w.v, '$[' || i || ']'), true
+    FROM (SELECT unnest(range(CASE WHEN json_type(w.v) = 'ARRAY' THEN json_array_length(w.v)::BIGINT ELSE 0 END)) AS i) e
+  ) k
+  WHERE json_type(w.v) IN ('OBJECT', 'ARRAY')
+), leaves AS (
+  SELECT msg_id AS record_id, obj AS obj_path, field, CASE json_type(v) WHEN 'VARCHAR' THEN v ->> '$' WHEN 'NULL' THEN NULL ELSE v::VARCHAR END AS value
+  FROM walk WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY')
+)"""
+
+P1_LEAVES = _P1_LEAVES + " SELECT record_id, obj_path, field, value FROM leaves"
+
+_P1_VALUES = _P1_LEAVES + """, pieces AS (
+  SELECT DISTINCT id, 'evidence[' || (i - 1) || ']' AS obj_path, evidence[i] AS v
+  FROM (SELECT id, evidence, unnest(range(1, len(evidence) + 1)) AS i FROM edges)
+), vals AS (
+  SELECT 'message' AS record_type, record_id, obj_path, field, value FROM leaves
+  UNION ALL SELECT 'edge', id, obj_path, 'kind', v.kind FROM pieces WHERE v.kind IS NOT NULL
+  UNION ALL SELECT 'edge', id, obj_path, 'path', v.path FROM pieces WHERE v.path IS NOT NULL
+  UNION ALL SELECT 'edge', id, obj_path, 'start_line', v.start_line::VARCHAR FROM pieces WHERE v.start_line IS NOT NULL
+)"""
+
+P1_VALUES = _P1_VALUES + " SELECT record_type, record_id, obj_path, field, value FROM vals"
+
+P1_OBJECTS = _P1_VALUES + f""", found AS ({P1})
+SELECT f.record_type, f.record_id, f.obj_path, f.parent_path, regexp_replace(f.obj_path, '\\[\\d+\\]', '[]', 'g') AS table_path, count(v.field)::INT AS n_fields,
+  CASE WHEN count(v.field) > 0 THEN '{{' || string_agg(to_json(v.field)::VARCHAR || ':' || coalesce(to_json(v.value)::VARCHAR, 'null'), ',' ORDER BY v.field) || '}}' END AS fields
+FROM found f LEFT JOIN vals v ON v.record_type = f.record_type AND v.record_id = f.record_id AND v.obj_path = f.obj_path GROUP BY ALL
+"""
+
 P2_COUNTS = """
 SELECT target, kind, count(DISTINCT id)::BIGINT AS n_ids FROM edges GROUP BY target, kind
 """
@@ -201,6 +249,9 @@ SELECT export_id, 'type_changed', field, field FROM both_ WHERE was AND now_ AND
 
 SQL = {
     "p1_found": P1,
+    "p1_leaves": P1_LEAVES,
+    "p1_values": P1_VALUES,
+    "p1_objects": P1_OBJECTS,
     "p2_found": P2,
     "p2_counts": P2_COUNTS,
     "p3_found": P3,

@@ -94,12 +94,33 @@ def test_leaves_come_back(spark):
     got = rows(shred.rebuild_leaves(shred.shredded_columns(df, "msg", "body", ("params", "result"))))
     assert got == sorted(
         [
-            (7, "params.k=", [], "null"),
-            (7, "result[].v=", [0], "1"),
-            (7, "result[].v=", [1], "true"),
-            (7, "result[].w[]=", [0, 0], "2"),
-            (7, "result[].w[]=", [0, 1], "null"),
-            (7, "result[].w[].u=", [0, 2], '"x"'),
+            (7, "params", "k", None),
+            (7, "result[0]", "v", "1"),
+            (7, "result[1]", "v", "true"),
+            (7, "result[0]", "w[0]", "2"),
+            (7, "result[0]", "w[1]", None),
+            (7, "result[0].w[2]", "u", "x"),
         ],
         key=repr,
     )
+
+
+def test_any_depth_and_any_number(spark):
+    assert shred.parse_json("[" * 20_000 + '{"a": -1.5e3}' + "]" * 20_000) is not shred._ABSENT
+    deep = "[" * 300 + '{"a": -1.5e3}' + "]" * 300
+    df = spark.createDataFrame([(1, '{"result": ' + deep + "}"), (2, '{"params": [{"n": ' + "9" * 5000 + "}]}")], "id bigint, message string")
+    got = {(r.record_id, r.obj_path[:9], r.parent_path) for r in shred.json_objects(df, "id", "message", ("params", "result")).collect()}
+    assert got == {(1, "result[0]", "result"), (2, "params[0]", "params")}
+
+
+def test_own_parser_agrees_with_the_library():
+    texts = ['{"a":[1,2.5,{"b":null}],"c":"\\u00e9\\n","d":{},"e":[],"a":true}', " [ ] ", "{}", "1", '"x"', '[{"a":[[],[{}]]}, -0.1e-2]', "[1,]", "{,}", '{"a"}', "[1 2]", "", "[", '{"a":1', "01", "nul", "[1]]"]
+    for text in texts:
+        try:
+            want = json.loads(text)
+        except ValueError:
+            want = None
+        try:
+            assert shred._parse_deep(text) == want, text
+        except ValueError:
+            assert want is None, text
