@@ -55,6 +55,11 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(_texts(spark, sf_dir), "doc_id", "text")
 
 
+def p10_why(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each of these documents is one, and whether other documents' alignment says so."""
+    return residue.explain(_texts(spark, sf_dir), "doc_id", "text")
+
+
 def p10_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by source, before and after such ones are left out."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -72,6 +77,7 @@ QUERIES = {
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
     "p10_found": p10_found,
+    "p10_why": p10_why,
     "p10_clean": p10_clean,
 }
 

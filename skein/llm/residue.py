@@ -1,676 +1,490 @@
 """Template residue, filler and error pages among texts.
 
 Texts fall into units (lines and sentences) outside code and quotation. A unit
-with its identifiers, numbers and slot marks masked is a template; records of
-the same template are aligned by it, and a masked place where the records
-differ is an induced slot. A slot that still shows a variable's name in a form
-that only templating uses is flagged at once; a form that prose may hold too, a
-default value, or nothing at all is flagged where alignment shows that place to
-be a slot: a masked place that differs, or one or two places, of any words, that
-other records fill differently in otherwise the same unit. Whole pages are aligned likewise: a page that is an error or notice
-by its wording is flagged, one of doubtful wording if its template repeats.
+that holds a slot mark, a default value or a blank is a suspect: the rest of it
+is a template with those places open. The template is aligned with the units of
+all records that begin or end like it; a place that other records fill, with
+values that differ, is an induced slot, and the suspect shows it unfilled. Whole
+pages and filler are aligned likewise: a page or unit that looks like one by its
+wording is settled by its template being met in several records.
+
+What is certain without alignment (a mark that only templating uses, the very
+wording of an error page) comes out even where no other record shares the
+template; ``explain`` tells the two apart.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-import unicodedata
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-import regex
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm import wording as W
+from skein.llm.wording import fold
 from skein.runtime import Stage
 
-_FLUSH = 200_000
-_FEW = 100_000  # doubtful places that are sent to all tasks
+_FEW = 100_000  # templates that are sent to all tasks
+_ANCHORS = (12, 5, 2)  # characters of a unit's beginning or end by which it is found
+_SPAN = 3  # tokens that fill a slot
+_CONTEXT = 3  # words around the slots of a template that words may fill
+FILL, GAP, TAIL = "\x02", "\x05", "\x06"  # a masked token, an open place, and any rest
+PLAIN, VALUE, MARK, DEFAULT = range(4)
 
-# --- wording -----------------------------------------------------------------
 
-_MARK_WORDS = (
-    r"your|insert|enter|add|type|put|fill(?: in)?|replace|placeholder|change me|tbd|todo|"
-    r"ihre?n?|einfügen|eintragen|ergänzen|ausfüllen|platzhalter|"
-    r"à compléter|compléter|insérer|remplir|votre|vos|rellenar|completar|insertar|su|escriba|complete"
-)
-_HTML = (
-    r"a|abbr|article|b|body|br|button|code|details|div|em|footer|form|h[1-6]|head|header|hr|html|i|img|input|kbd|label|"
-    r"li|link|main|meta|nav|noscript|ol|option|p|pre|script|section|select|small|span|strong|style|sub|summary|sup|"
-    r"table|tbody|td|th|thead|title|tr|u|ul"
-)
+# --- units ---------------------------------------------------------------------
 
-#: Marks that only a template holds outside code.
-SLOT = regex.compile(
-    r"\{\{\{?[^{}\n]{1,80}\}\}\}?|\{%[^%\n]{1,80}%\}(?:\s*\{%\s*end\w*[^%\n]*%\})?|<%[=-]?[^%>\n]{1,80}%>|\$\{[^{}\n]{1,80}\}|"
-    r"\$\([A-Za-z_]\w*\)|#\{[^{}\n]{1,80}\}|\{\[[^\[\]{}\n]{1,80}\]\}|\[\[[^\[\]\n]{1,80}\]\]|\*\|[^|\n]{1,80}\|\*|@@\w[\w .-]*@@|"
-    r"<<[A-Za-z_][\w .-]*>>|%\([A-Za-z_]\w*\)[sdif]|(?<![\w%])%[A-Za-z_]\w*%(?![\w%])|"
-    rf"\[\s*(?:{_MARK_WORDS})\b[^\[\]\n]{{0,80}}\](?!\()|\[[^\[\]\n]{{1,80}}\b(?:here|einfügen|eintragen|ergänzen|ici|aquí)\s*\](?!\()|"
-    rf"<\s*(?:{_MARK_WORDS})\s[^<>\n]{{1,80}}>|<[^<>/\n]{{1,80}}\s(?:here|einfügen|eintragen|ici|aquí)\s*>|"
-    r"(?<!\w)_{3,}(?:\s*\([^()\n]{1,60}\))",
-    regex.IGNORECASE,
-)
 
-#: Marks that prose about code may hold as well.
-WEAK_SLOT = regex.compile(
-    r"(?<![\w$#{%])\{(?:\d+|[A-Za-z_]\w*)\}(?![\w}])|"
-    rf"(?<![\w<`])<(?!/?(?:{_HTML})\b)(?!(?:HTML|HEAD|BODY|BR|HR|P|DIV|TABLE|TR|TD)>)[A-Za-z][A-Za-z0-9_-]{{1,40}}>(?![\w>])|"
-    r"(?<![\w/.:])__[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*__(?![\w/(]|\.\w)|(?<!\w)_{3,}(?!\w)"
-)
+def mask(text: str) -> str:
+    """The text with code, quotations and slot marks as tokens: \\x02 letter content \\x03."""
+    text = W._IGNORED.sub("", text)
+    if "```" in text or "~~~" in text:
+        text = W._FENCE.sub("\n", text)
+    if "`" in text:
+        text = W._INLINE.sub(" \x02c\x03 ", text)
+    if "{" in text:
+        text = W._JSON_ERROR.sub("\x02e\x03", text)
+    if _MAY_MARK.search(text):
+        text = W.SLOT.sub(lambda m: f"\x02m{m[0]}\x03", text)
+        text = W.WEAK_SLOT.sub(lambda m: m[0] if "\x02" in m[0] else f"\x02w{m[0]}\x03", text)
+    return W._QUOTED.sub(_quotation, text) if _MAY_QUOTE.search(text) else text
 
-_DEFAULTS = frozenset({"n/a", "null", "undefined", "none", "nil", "nan", "tba", "xxx", "default"})
-_BLANK = re.compile(r"\w[ \t]{2,}[\w(]|(?<=\w)[ \t]+[.,](?:\s|$)|:\s*$")
-
-_FILLER = re.compile(
-    "|".join(
-        [
-            r"lorem ipsum",
-            r"\b(?:text|title|lead|body|copy|description|content|summary|caption|heading|name|headline|image|quote|answer)s? (?:goes|go) here\b",
-            r"\bplaceholder (?:copy|text|content|paragraph)\b|\bdummy text\b|^sample text\b|^(?:this is )?(?:only )?(?:a )?placeholder\b",
-            r"\b(?:replace|edit|overwrite) this (?:paragraph|text|section|block|sentence)\b|\bwith your own words\b",
-            r"\b(?:add|put|write|enter|type|insert) (?:your|some|a short|the) (?:own )?(?:content|text|overview|description|summary|words|introduction) (?:here|later)\b",
-            r"^\W*(?:todo|fixme|tbd)\W+(?:add|describe|document|explain|fill|write|complete|expand|text|provide|insert|finish)\b|\bto be written\b|^\W*no text yet\b|^\W*\(?no (?:text|content) yet\)?",
-            r"\b(?:details|text|content|more) (?:to follow|will (?:come|follow)(?: later)?|coming soon|to come)\b|\bcoming soon\b$",
-            r"\byou can edit this (?:section|page|text) later\b|\bwill be replaced before release\b",
-            r"platzhaltertext|blindtext|\bbeschreibung folgt\b|\btext folgt\b|\bhier steht (?:spater|bald)|\bhier (?:ihren|deinen) text\b|\binhalt folgt\b",
-            r"\btexto de (?:ejemplo|relleno|muestra)\b|\bescriba aqui\b|\bescribe aqui\b|\bcontenido (?:pendiente|proximamente)\b|\btexto provisional\b",
-            r"\bvotre (?:description|texte|titre|contenu) ici\b|\bcontenu a venir\b|\btexte (?:provisoire|a venir|de remplissage)\b|\btexte d'exemple\b|\bfaux texte\b",
-            r"ダミーテキスト|差し替えてください|サンプルテキスト|ここにテキスト|準備中です",
-        ]
-    )
-)
 
-_STATUS = (
-    r"not found|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|internal server error|too many requests|forbidden|unauthorized|"
-    r"bad request|gone|payload too large|method not allowed|request time-?out|conflict|not acceptable|precondition failed|"
-    r"unavailable for legal reasons|insufficient storage|proxy authentication required|payment required"
-)
-_CODE = r"(?:http\S*|error|erreur|fehler|fehlercode|status(?: code)?|codigo|code|erreur code|error code)"
+def _quotation(m) -> str:
+    return " \x02q\x03 "
 
-_RETRY = (
-    r"(?:please )?(?:try again|reload|wait a moment|go to the start page|come back|check the|ask the)\b|"
-    r"(?:bitte (?:laden|versuchen)|veuillez (?:reessayer|recharger)|intentelo|vuelva a intentarlo|recargue)\b"
-)
 
-#: Wording of error, sign-in and blocked pages.
-_ERROR = re.compile(
-    "|".join(
-        [
-            rf"^\W*(?:{_CODE}:? *)?[45]\d\d\b[\s|:–—.-]*(?:{_STATUS})\b",
-            rf"^\W*{_CODE}:? *[45]\d\d\b\W*(?:{_RETRY})|^\W*(?:{_CODE}:? *[45]\d\d\W*){{2,}}",
-            r"^\W*\x02e\x03",
-            rf"^\W*(?:{_STATUS})\W*(?:\|.*)?$|^\W*(?:{_STATUS})\b(?=\W+(?:ask|check|our|please|bitte|veuillez|intentelo|vuelva|reload|retry|try|wait|go|the server|you|we|this|request|reference|[\w-]+\.\w+ did)\b)",
-            r"^\W*access (?:was |is |has been )?denied\W*$|\baccess denied\b(?=\W+(?:you|to view|please|ask|sign))|\b(?:you )?(?:do not|don't) have permission\b|\bnot (?:authori[sz]ed|allowed) to (?:view|access|see|read)\b",
-            r"\byou must be (?:signed|logged) in\b|\b(?:sign|log) in (?:again )?to (?:continue|read|view|see|access)\b|\bsession (?:has )?(?:expired|timed out)\b|\bforgot (?:your )?password\b|\bplease (?:sign|log) in\b",
-            r"\bpage (?:not found|you (?:asked|are looking|requested|were looking)|could not be found|does not exist|doesn't exist|has moved|cannot be displayed|can't be displayed)|\bhas moved or never existed\b|\b(?:can't|cannot|couldn't|could not) find (?:that|the|this) page\b",
-            r"\baddress leads nowhere\b|\bcheck the spelling of the address\b|\bcheck the (?:url|address)\b",
-            r"\bdown for (?:scheduled )?maintenance\b|\bwe(?:'ll| will) be back (?:soon|shortly)\b|\bundergoing maintenance\b",
-            r"^\W*(?:oops\W+)?something went wrong\b|\bupstream (?:request )?(?:timed out|connect error)|\bno server is (?:ready|available)|\bserver could not answer\b|\bserver (?:encountered|is temporarily|did not respond)",
-            r"^\W*internal error\W*$|\bquote (?:the )?reference\b.*\bhelp\b|\bour team has been (?:told|notified|informed)\b",
-            r"\bno results could be loaded\b|\b(?:could not|couldn't|cannot|can't) be (?:rendered|loaded|reached|displayed)\b(?!.*\bscript)|\bdid not reply\W*$|\bpermission check failed\b",
-            r"\bclient has been blocked\b|\byou have been blocked\b|\byour (?:ip|address|access|request) (?:address )?(?:has been|was|is) (?:blocked|limited|banned)|\bunusual (?:traffic|activity)\b|\btoo many requests\b|\brate limit (?:reached|exceeded)\b",
-            r"\bchecking (?:that the|your|if the) (?:connection|browser|site)\b|\b(?:are|that) you(?:'re| are)? (?:human|not a robot)\b|\bcomplete the captcha\b|\bverify(?:ing)? you are human\b",
-            r"\bask the owner of the \w+ for access\b|\brequest access\b$",
-            r"\bseite (?:nicht gefunden|wurde nicht gefunden|existiert nicht)|\bgewunschte seite\b|\bzugriff verweigert\b|\bbitte melden sie sich an\b|\bein (?:unerwarteter )?fehler ist aufgetreten\b|\bes ist ein (?:\w+ )?fehler aufgetreten\b|\bsitzung ist abgelaufen\b|\binterner serverfehler\b|\bwartungsarbeiten\b",
-            r"\bpage introuvable\b|\badresse demandee\b|\bcette page n'existe pas\b|\berreur interne\b|\bacces (?:refuse|interdit)\b|\bune erreur (?:est survenue|s'est produite|inattendue)|\bveuillez vous (?:connecter|identifier)|\bsession (?:a )?expire\b|\ben maintenance\b",
-            r"\bse (?:produjo|ha producido) un error\b|\bpagina no (?:encontrada|existe|disponible)|\bno (?:se )?encontr\w+ la pagina\b|\bacceso denegado\b|\bno tiene permiso\b|\binicie sesion\b|\bsesion ha (?:caducado|expirado)\b|\berror interno del servidor\b|\ben mantenimiento\b",
-            "ページが見つかりません|エラーが発生しました|アクセスが拒否|ログインしてください|メンテナンス中|セッションの有効期限",
-        ]
-    )
-)
+_MAY_MARK = re.compile(r"[{\[<$#%*@_]")
+_MAY_QUOTE = re.compile("[\"“„«「]")
+_DEFAULT = re.compile(r"(?<![\w/.])(?:n/a|null|undefined|none|nil|nan|tba|xxx|default)(?![\w/])", re.IGNORECASE)
 
-#: Wording that closes or accompanies such pages, too weak to tell one alone.
-_ERROR_WEAK = re.compile(
-    "|".join(
-        [
-            rf"^\W*{_CODE}:? *[45]\d\d\b",
-            r"^\W*[45]\d\d\W*$",
-            r"^\W*(?:oops|sorry)\b",
-            rf"^\W*(?:{_RETRY})",
-            r"^\W*(?:request id|reference|codigo|code d'erreur|fehlercode)\W",
-            r"^\W*sign in\W*$|^\W*log ?in\W*$|^\W*password\W*$|^\W*anmelden\W*$",
-            r"^\W*(?:access denied|(?:your )?session has expired|(?:the |your )?(?:request|connection|operation|gateway) timed out)\W*$",
-        ]
-    )
-)
 
-_SCRIPT = r"(?:java ?script|\bjs\b|scripts?\b|scripting|active content|aktive inhalte|skripte?n?\b|contenido activo)"
-_NEED = (
-    r"(?:enabl|activ|allow|turn(?:ed)? (?:it|them|on|off)|switch(?:ed)? o(?:n|ff)|requir|depend|\bneeds?\b|without|only with|best|block|disabl|support|erlaub|aktivier|benotig|"
-    r"besoin|bloqu|sin scripts|habilit|permit|necesit|autoris|有効|必要)"
-)
-_PAGE = (
-    r"(?:\bpage\b|\bdocument\b|\bsite\b|\bapp(?:lication)?\b|\bviewer\b|^\W*search\b|\breport\b|\bportal\b|\bview\b|\bbrowser\b|to continue|navigateur|navegador|\bansicht\b|\bseite\b|\bvista\b|\bpagina\b|ページ)"
-)
-_NOTICE_START = r"^\W*(?:<noscript>|notice:|hinweis:|aviso:|remarque ?:|avis ?:)"
-_NOTICE = re.compile(
-    rf"{_NOTICE_START}.*(?:{_SCRIPT}|{_NEED})|^(?=.*{_SCRIPT})(?=.*{_NEED})(?=.*{_PAGE})|"
-    rf"^\W*(?:please |bitte |veuillez )?(?:enable|activate|allow|turn on|activer|activez|active|habilite|aktivieren sie)\b.*{_SCRIPT}|{_SCRIPT}.{{0,20}}有効|"
-    rf"^\W*you need to .*{_SCRIPT}"
-)
-_NOSCRIPT = re.compile(r"^\W*<noscript>|\(noscript\)\W*$")
-
-_IN_MARKUP = re.compile(rf"\b(?:{_STATUS})\b|{_CODE}:? *[45]\d\d\b|\b(?:error|fehler|erreur|denied|sign in|captcha)\b")
-_NUMBER = re.compile(r"(?<!\d)(?![45]\d\d(?!\d))\d+")
-
-#: General signs of such a page, in any wording: something failed or is missing, the
-#: reader is addressed or asked to act, a status is named.
-_CUES = [
-    re.compile(
-        r"\b(?:unable|fail(?:ed|ure|s)?|errors?|problems?|wrong|broken|denied|refused|rejected|expired|unavailable|unreachable|offline|missing|invalid|blocked|banned|"
-        r"suspended|restricted|forbidden|removed|deleted|timed out|(?:can|could|do|does|did|is|are|was|were|has|have|will)(?: ?not|n't)|cannot|no longer|nothing|nowhere|maintenance|"
-        r"fehler|nicht|kein\w*|gesperrt|abgelaufen|erreur|impossible|introuvable|indisponible|n'(?:a|est|existe|etait) |aucune?|fallo|no (?:se|esta|existe|hay|pudo|fue|tiene)|imposible)\b|"
-        r"エラー|できません|ありません|失敗|拒否"
-    ),
-    re.compile(
-        r"^\W*(?:please|try|retry|reload|refresh|return|go (?:back|to)|sign|log|contact|check|wait|come back|visit|search|use|ask|bitte|veuillez|intente|vuelva|recargue)\b|"
-        r"\b(?:please|you|your|yourself|bitte|sie|ihre?n?|veuillez|vous|votre|vos|usted|su|intente\w*)\b|ください|お客様"
-    ),
-    re.compile(r"(?<!\d)[45]\d\d(?!\d)(?!\W*(?:ms|rows|edges|nodes|lines|files|s)\b)"),
-    re.compile(
-        r"\b(?:page|site|website|address|url|link|server|service|account|session|sign(?:ed)? in|log(?:ged)? in|login|access|permission|request|connection|browser|captcha|"
-        r"seite|dienst|adresse|konto|anmeldung|zugriff|sitzung|anfrage|serveur|compte|acces|connexion|pagina|sitio|servidor|cuenta|acceso|sesion|solicitud)\b|ページ|サーバ|ログイン"
-    ),
-]
-_PAGE_UNITS, _PAGE_CHARS = 12, 1000
-
-_CHROME = re.compile(
-    r"^\W*(?:menu|skip to content|home(?: *\| *[\w ]+)+|back to top|help(?: *· *\w+)+|(?:©|\(c\)).*|[\w ]+ ›.*|retry|go back|loading\W*|please enable it|"
-    r"check your browser settings|use a newer browser|allow scripts and reload|turn off your blocker.*|turn it on and reload.*|go to the start page|"
-    r"user name|password|your browser blocks them|request id \w+|reference:? \w+|error code:? *\d+|request \w+|(?:[\w-]+\.)+[a-z]{2,}(?: at [\d:.tz -]+)?|see how to enable \w+)\W*$"
-)
+class Unit:
+    """A line or sentence; what wording makes of it is worked out where it may matter."""
 
-_TOKEN = regex.compile(
-    r"\x02[a-z]\d*\x03|(?:Java|Type)Scripts?\b|[\w:./()<>-]*[\w)](?:[_/.:(]|::)[\w:./()<>-]*\w\)*|\w+|[^\w\s]"
-)
-_IDENTIFIER = regex.compile(r"(?:\w[_/:]\w|\w\.\w{1,4}\b.*/|\p{Ll}\p{Lu}|\(\)|^fn:)")
-_PLAIN_NAMES = re.compile(r"^(?:Java|Type)Scripts?$")
-#: Two words joined by a slash; they may be prose.
-_ADDRESS = regex.compile(r"/|\w+://")  # of a page, not of code
-_EITHER = regex.compile(r"\p{L}+/\p{L}+")
-_NAME = "_"  # stands for a token of code where wording is judged; a word character
-_FENCE = regex.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", regex.DOTALL)
-_INLINE = regex.compile(r"`[^`\n]{1,300}`")
-_JSON_ERROR = regex.compile(r"^[ \t]*\{\s*\"(?:error|errors|fault|status|statusCode|code|message)\"\s*:.*\}[ \t]*$", regex.MULTILINE | regex.IGNORECASE)
-_QUOTED = regex.compile(r"\"[^\"\n]{1,300}\"|“[^”\n]{1,300}”|„[^“\n]{1,300}“|«[^»\n]{1,300}»|「[^」\n]{1,300}」")
-_SPLIT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n|…\s")
-_IGNORED = regex.compile(r"[­​-‏⁠﻿]")
-_HTML_TAG = regex.compile(rf"</?(?:{_HTML})(?:\s[^<>]*)?>", regex.IGNORECASE)
-_CODE_LINE = re.compile(r"^\s*(?:WARN|ERROR|INFO|DEBUG|TRACE)\b|^\s*(?:File \"|raise |SELECT |GET |POST |\||Traceback|\w*Error:|at \w+\()|->")
-
-
-def fold(text: str) -> str:
-    """Lower case without accents or runs of white space."""
-    if not text.isascii():
-        spread = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in spread if not unicodedata.combining(c)).replace("’", "'")
-    return " ".join(text.casefold().split())
-
-
-@lru_cache(1 << 16)
-def _word(token: str) -> tuple[str, bool, bool]:
-    """A token folded, whether it names code, and whether it is a value."""
-    code = bool(_IDENTIFIER.search(_PLAIN_NAMES.sub("", token)))
-    return fold(token), code, code or any(c.isdigit() for c in token)
-
-
-def _folded(pattern: re.Pattern) -> re.Pattern:
-    """Folds what a pattern for folded text says, which NFKD may have split."""
-    return re.compile("".join(c for c in unicodedata.normalize("NFKD", pattern.pattern) if not unicodedata.combining(c)))
-
-
-_FILLER, _ERROR, _ERROR_WEAK, _NOTICE = (_folded(p) for p in (_FILLER, _ERROR, _ERROR_WEAK, _NOTICE))
-_CUES = [_folded(p) for p in _CUES]
-
-
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-
-
-def _value(text: str) -> int:
-    """A slot's value, of which only matters whether others differ."""
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
-
-
-def _repeats(words: list[str]) -> bool:
-    """Up to four words said over and over, alone or as a long run."""
-    for period in range(1, 5):
-        least = max(3 * period, 3)
-        if len(words) < least:
-            return False
-        run = period
-        for i in range(period, len(words)):
-            run = run + 1 if words[i] == words[i - period] else period
-            if run >= max(6, 4 * period) and len(words[i]) > 1 and words[i].isalpha():
-                return True
-        if run == len(words) >= least and len(words[0]) > 1 and words[0].isalpha():
-            return True
-    return False
-
-
-#: Syllables that filler Latin is spun from; a run of words made of nothing else is filler.
-_LATIN = re.compile(
-    r"(?:lorem|ipsum|dolor|sit|amet|con|sec|tetur|adi|pis|cing|elit|sed|do|eius|mod|tem|por|inci|di|dunt|ut|la|bore|et|magna|ali|qua|quam|enim|"
-    r"minim|veni|quis|nos|trud|exer|ulla|co|labo|ris|nisi|ex|ea|com|modo|cos|sil|vi|tor|dus|rem|ur|ne|lo|ble|bus|ti|us)+"
-)
+    __slots__ = ("text", "code", "hits", "folded", "named", "chrome", "stutter")
 
-
-def _latin(words: list[str]) -> bool:
-    long = [w for w in words if len(w) > 1]
-    return len(long) >= 5 and sum(bool(_LATIN.fullmatch(w)) for w in long) >= 0.9 * len(long) and sum(map(len, long)) >= 4 * len(long) * 0.8
+    def __init__(self, raw: str):
+        self.text = raw.strip()
+        self.code = "\x02c" in raw or "->" in raw or bool(W._CODE_LINE.match(raw))
+        if self.code and "<noscript" not in raw.lower():
+            self.hits, self.folded = 0, ""  # tells of code, whatever else
+        else:
+            plain = W._HTML_TAG.sub(_tag, self.text) if "<" in self.text else self.text
+            self.folded = fold(plain)
+            self.hits = W.bits(self.folded)
+        self.named, self.chrome, self.stutter = False, None, False
+
+    def weigh(self) -> None:
+        """Code-like tokens out of the wording, page furniture told."""
+        if self.chrome is not None or not self.folded:
+            self.chrome = bool(self.chrome)
+            return
+        plain = W._HTML_TAG.sub(_tag, self.text) if "<" in self.text else self.text
+        names = [t for t in W._TOKEN.findall(self.text) if t[0] != "\x02" and W._word(t)[1] and W._word(t)[0] not in W._DEFAULTS]
+        for token in sorted(names, key=len, reverse=True):
+            plain = plain.replace(token, token.replace("/", " ") if W._EITHER.fullmatch(token) else W._NAME)
+        self.named = any(not W._EITHER.fullmatch(t) and not W._ADDRESS.match(t) and any(c.isalpha() for c in t) for t in names)
+        if names:
+            self.folded = fold(plain)
+        self.chrome = any(c.isalpha() or c == "©" for c in self.folded) and bool(W._CHROME.match(self.folded))
+
+    def key(self) -> str:
+        """The unit as a template: every code-like or changing token masked, names of hosts too."""
+        return " ".join(FILL if "." in t[1:-1] else t for t, _, _, _ in tokens(self.text))
+
+
+def _tag(m) -> str:
+    return "<noscript>" if "noscript" in m[0].lower() else " "
+
+
+def tokens(text: str) -> list[tuple[str, int, int, str]]:
+    """(shape, status, start, raw) of each token; the shape of all but plain words is a mask."""
+    out = []
+    for m in W._TOKEN.finditer(text):
+        raw = m[0]
+        if raw[0] == "\x02":
+            out.append((FILL, MARK if raw[1] in "mw" else VALUE, m.start(), raw[2:-1]))
+            continue
+        word, _, value = W._word(raw)
+        if word in W._DEFAULTS:
+            out.append((FILL, DEFAULT, m.start(), raw))
+        else:
+            out.append((FILL, VALUE, m.start(), raw) if value else (word, PLAIN, m.start(), raw))
+    return out
 
 
-class _Unit:
-    __slots__ = ("text", "folded", "tokens", "key", "values", "strong", "weak", "defaults", "code", "named", "chrome", "stutter")
+def _is_filler(unit: Unit) -> bool:
+    if not unit.folded:
+        return False
+    words = unit.folded.split()
+    # A word three times over, few words in all, or made of filler's syllables.
+    few = len(words) > 2 and 2 * len(set(words)) <= len(words) + 6
+    latin = len(words) > 4 and any(W._LATIN.fullmatch(w.strip(".,;:!?")) for w in words[:2])
+    if not (few or latin or unit.hits & W.FILLER):
+        return False
+    unit.weigh()
+    if few and any(a == b == c and len(a) > 3 and a.isalpha() for a, b, c in zip(words, words[1:], words[2:])):
+        return True
+    return (W._opens_as_filler if unit.named else W._is_filler)(W._plain(unit.folded))
 
 
-def _mask(text: str) -> tuple[str, list[str], list[bool]]:
-    """The text without code, slot marks and quotations as tokens, the marks, and which are strong."""
-    text = _IGNORED.sub("", text)
-    text = _FENCE.sub("\n", text)
-    text = _INLINE.sub(" \x02c\x03 ", text)
-    text = _JSON_ERROR.sub("\x02e\x03", text)
-    marks: list[str] = []
-    strong: list[bool] = []
+def _filler_key(unit: Unit) -> str:
+    """What of a filler other records may share: the phrase it holds, else the words it repeats, else its kind."""
+    if (said := W._FILLER.search(unit.folded)) is not None:
+        return said[0]
+    words = list(dict.fromkeys(w.strip(".,;:!?") for w in unit.folded.split()))
+    return " ".join(words[:6]) if len(words) <= 6 else "latin"
 
-    def slot(is_strong: bool):
-        def put(m: regex.Match) -> str:
-            marks.append(m[0])
-            strong.append(is_strong)
-            return f"\x02s{len(marks) - 1}\x03"
 
-        return put
+def _page_kind(unit: Unit) -> int:
+    """0 other text, 1 words that may belong to an error page, 2 an error or notice, 3 page furniture."""
+    if not unit.folded or not (unit.hits & W.PAGE or len(unit.folded) < 60 or unit.text[0] == "<"):
+        return 0
+    unit.weigh()
+    if unit.chrome:
+        return 3 if not W._ERROR.search(unit.folded) else 2
+    markup = unit.text[:5].lower() in ("<html", "<!doc")
+    if not (unit.hits & W.PAGE or markup or unit.folded.strip(" .!:").isdigit()):
+        return 0
+    return W._wording(W._plain(unit.folded), markup)
 
-    text = WEAK_SLOT.sub(slot(False), SLOT.sub(slot(True), text))
-    return _QUOTED.sub(" \x02q\x03 ", text), marks, strong
 
+def _page_key(units: list[Unit], kinds: list[int]) -> str:
+    return str(W._hash("\n".join(u.key() for u, k in zip(units, kinds) if k != 3)))
 
-def _units(text: str) -> list[_Unit]:
-    masked, marks, strong = _mask(text)
-    out = []
-    for raw in _SPLIT.split(masked):
-        if not raw or not raw.strip():
-            continue
-        unit = _Unit()
-        unit.text = raw.strip()
-        unit.tokens, unit.values = [], []
-        unit.strong, unit.weak, unit.defaults = [], [], []
-        unit.code = bool(_CODE_LINE.search(raw))
-        unit.stutter = False
-        names = []  # tokens that look like code
-        last, run = "", 0
-        for token in _TOKEN.findall(raw):
-            at = len(unit.values)
-            if token[0] == "\x02":
-                if token[1] == "s":
-                    n = int(token[2:-1])
-                    (unit.strong if strong[n] else unit.weak).append(at)
-                    unit.values.append(marks[n])
-                else:
-                    unit.values.append(token)
-                    unit.code |= token[1] == "c"
-                unit.tokens.append("\x02")
-            else:
-                word, code, value = _word(token)
-                if word in _DEFAULTS:
-                    code = value = False
-                if code:
-                    names.append(token)
-                if value or word in _DEFAULTS:
-                    if not value:
-                        unit.defaults.append(at)
-                    unit.values.append(token)
-                    unit.tokens.append("\x02")
-                else:
-                    if word == last:
-                        run += 1
-                        if run == 3 and len(word) > 3 and word.isalpha():
-                            unit.stutter = True  # one word three times over
-                    else:
-                        last, run = word, 1
-                    unit.tokens.append(word)
-        if unit.code and "<noscript" not in raw.lower():
-            unit.folded, unit.chrome = "", False  # tells of code, whatever else
-        else:
-            plain = _HTML_TAG.sub(lambda m: "<noscript>" if "noscript" in m[0].lower() else " ", unit.text) if "<" in unit.text else unit.text
-            for token in sorted(names, key=len, reverse=True):
-                plain = plain.replace(token, token.replace("/", " ") if _EITHER.fullmatch(token) else _NAME)
-            unit.folded = fold(plain)
-            unit.chrome = any(c.isalpha() or c == "©" for c in unit.folded) and bool(_CHROME.match(unit.folded))
-        unit.named = any(not _EITHER.fullmatch(t) and not _ADDRESS.match(t) and any(c.isalpha() for c in t) for t in names)
-        unit.key = _hash(" ".join(unit.tokens))
-        out.append(unit)
-    return out
 
+# --- suspects --------------------------------------------------------------------
 
-def _gaps(unit: _Unit) -> Iterator[tuple[int, int]]:
-    """(slot, key of the template with that slot left empty)."""
-    at = -1
-    for i, token in enumerate(unit.tokens):
-        if token == "\x02":
-            at += 1
-            yield at, _hash(" ".join(unit.tokens[:i] + unit.tokens[i + 1 :]))
 
+def template(unit: Unit) -> tuple[str, list[set[str]], list[str]] | None:
+    """(template, forms of each open place, anchors) of a unit with open places.
 
-_M, _A, _B = (1 << 61) - 1, 911382323, 972663749
-_FILL, _NOFILL = "\x02", "\x04"  # a masked token that may fill a slot, and one that shows it unfilled
-_SPAN, _LONGEST, _CONTEXT = 3, 40, 3  # tokens that fill a slot, tokens of a unit, words that must surround its slots
+    Segments of tokens joined by GAP. Anchors are what the unit begins or ends
+    with before its first and after its last open or masked place. None where
+    nothing is open, or nothing is left to align by.
+    """
+    text = unit.text
+    found = tokens(text)
+    gaps: list[tuple[int, int, str]] = []
+    for i, (_, status, at, _) in enumerate(found):
+        if status == MARK:
+            gaps.append((i, i + 1, "mark" if text[at + 1] == "m" else "weak"))
+        elif status == DEFAULT:
+            gaps.append((i, i + 1, "default"))
+    if not unit.code:
+        for m in W._BLANK.finditer(text):
+            i = sum(t[2] <= m.start() for t in found)
+            gaps.append((i, i, "blank"))
+    if not gaps:
+        return None
+    gaps.sort()
+    segments: list[list[str]] = [[]]
+    places: list[set[str]] = []
+    at = 0
+    for i, j, form in gaps:
+        between = [t[0] for t in found[at:i]]
+        if places and not between:
+            places[-1].add(form)
+        else:
+            segments[-1].extend(between)
+            places.append({form})
+            segments.append([])
+        at = max(at, j)
+    segments[-1].extend(t[0] for t in found[at:])
+    if not any(segments):
+        return None
+    firm = next((t[2] for t in found if t[1] != PLAIN), len(text))
+    firm = min([firm, *(m.start() + 1 for m in W._BLANK.finditer(text))]) if not unit.code else firm
+    loose = max((t[2] + len(t[3]) + 3 for t in found if t[1] in (MARK, VALUE)), default=0)
+    loose = max([loose, *(t[2] + len(t[3]) for t in found if t[1] == DEFAULT), *(m.end() - 1 for m in W._BLANK.finditer(text))])
+    anchors = []
+    for n in _ANCHORS:
+        if firm >= n:
+            anchors.append(f"h{n}:{text[:n]}")
+        elif len(text) - loose >= n:
+            anchors.append(f"t{n}:{text[-n:]}")
+        else:
+            continue
+        break
+    return GAP.join(" ".join(s) for s in segments), places, anchors
 
 
-def _shape(unit: _Unit) -> list[str]:
-    """The unit's tokens, marks and defaults told from other masked ones."""
-    out, at, unfilled = [], -1, {*unit.strong, *unit.weak, *unit.defaults}
-    for token in unit.tokens:
-        at += token == _FILL
-        out.append(_NOFILL if token == _FILL and at in unfilled else token)
-    return out
+def prefixes(unit: Unit) -> Iterator[tuple[str, list[str]]]:
+    """Templates of the unit's beginning up to each weak mark, whatever follows."""
+    found = tokens(unit.text)
+    for i, (_, status, at, _) in enumerate(found):
+        if i and status == MARK and unit.text[at + 1] == "w":
+            shape = " ".join(t[0] for t in found[:i])
+            firm = next((t[2] for t in found if t[1] != PLAIN), 0)
+            anchors = [f"h{n}:{unit.text[:n]}" for n in _ANCHORS if firm >= n][:1]
+            yield f"{shape}{GAP}{TAIL}", anchors
 
 
-@lru_cache(1 << 16)
-def _number(token: str) -> int:
-    return _hash(_FILL if token == _NOFILL else token) % _M
+def fills(template: str, found: list[tuple[str, int, int, str]]) -> list[tuple[int, int]] | None:
+    """The token spans that fill a template's places in a unit, each of at most _SPAN tokens; None if it does not fit."""
+    segments, shape = _parsed(template), [t[0] for t in found]
+    n = len(shape)
+    if shape[: len(segments[0])] != segments[0]:
+        return None
+    if segments[-1] == [TAIL]:
+        at = len(segments[0])
+        return [(at, at + 1)] if at < n and found[at][1] == MARK else None
+    if sum(map(len, segments)) > n or segments[-1] and shape[n - len(segments[-1]) :] != segments[-1]:
+        return None
 
+    def place(k: int, at: int) -> list[tuple[int, int]] | None:
+        last = k == len(segments) - 1
+        for size in [n - len(segments[-1]) - at] if last else range(_SPAN + 1):
+            end = at + size
+            if 0 <= size <= _SPAN and shape[end : end + len(segments[k])] == segments[k]:
+                rest = [] if last else place(k + 1, end + len(segments[k]))
+                if rest is not None:
+                    return [(at, end), *rest]
+        return None
 
-class _Rolling:
-    """Keys of a token list with one or two spans left out."""
+    return place(1, len(segments[0]))
 
-    def __init__(self, tokens: list[str]):
-        self.n = len(tokens)
-        self.sums, self.words, self.powers = [0], [0], [1]
-        for t in tokens:
-            self.sums.append((self.sums[-1] * _A + _number(t)) % _M)
-            self.words.append(self.words[-1] + t.isalpha())
-            self.powers.append(self.powers[-1] * _A % _M)
 
-    def part(self, i: int, j: int) -> int:
-        return (self.sums[j] - self.sums[i] * self.powers[j - i]) % _M
+@lru_cache(1 << 14)
+def _parsed(template: str) -> list[list[str]]:
+    return [s.split(" ") if s else [] for s in template.split(GAP)]
 
-    def key(self, gaps: list[tuple[int, int]]) -> int | None:
-        """gaps: (first token, token after the last), in order, none overlapping."""
-        out, at, words = len(gaps), 0, 0
-        for i, j in [*gaps, (self.n, self.n)]:
-            out = (out * _B + self.part(at, i) + (i - at) * 31) % _M
-            words += self.words[i] - self.words[at]
-            at = j
-        return out if words >= _CONTEXT else None
 
+@lru_cache(1 << 14)
+def _words(template: str) -> int:
+    return sum(t.isalpha() for s in _parsed(template) for t in s)
 
-_ONE, _TWO = -2, -3  # in place of a slot: the key leaves out one place, or two
 
+# --- one text ------------------------------------------------------------------------
 
-def _open_places(unit: _Unit) -> Iterator[tuple[int, int]]:
-    """(key, _ONE or _TWO) of the unit without each doubtful place, and without two of them at once."""
-    if len(unit.tokens) > _LONGEST:
-        return
-    doubtful, at, gaps = {*unit.weak, *unit.defaults}, -1, set()
-    for i, token in enumerate(unit.tokens):
-        at += token == _FILL
-        if token == _FILL and at in doubtful:
-            gaps.add((i, i + 1))
-    if not unit.code:
-        for m in _BLANK.finditer(unit.text):
-            i = min(len(_TOKEN.findall(unit.text[: m.start() + 1])), len(unit.tokens))
-            gaps.add((i, i))
-    places, rolling = sorted(gaps), _Rolling(unit.tokens) if gaps else None
-    for n, a in enumerate(places):
-        for some in [[a], *([a, b] for b in places[n + 1 :])]:
-            if (key := rolling.key(some)) is not None:
-                yield key, _ONE if len(some) == 1 else _TWO
-
-
-def _fills(tokens: list[str], wanted: set[int] | None, pairs: bool = True) -> Iterator[tuple[int, int]]:
-    """(key, value) of every span that may fill a slot, and with ``pairs`` of two single tokens."""
-    rolling, n = _Rolling(tokens), len(tokens)
-    may = [t == _FILL or t[0].isalnum() for t in tokens]  # not _NOFILL
-    for i in range(n):
-        if not may[i]:
-            continue
-        for j in range(i + 1, min(i + _SPAN, n) + 1):
-            if tokens[j - 1] == _NOFILL:
-                break
-            key = rolling.key([(i, j)]) if may[j - 1] else None
-            if key is not None and (wanted is None or key in wanted):
-                yield key, _value(" ".join(tokens[i:j]))
-        for j in range(i + 1, n if pairs and tokens[i] != _NOFILL else 0):
-            key = rolling.key([(i, i + 1), (j, j + 1)]) if may[j] else None
-            if key is not None and (wanted is None or key in wanted):
-                yield key, _value(f"{tokens[i]} {tokens[j]}")
 
+def inspect(text: str, first_words: int = 400) -> tuple[bool, list[tuple], list[Unit]]:
+    """(certain, doubts, units) of one text.
 
-def _aligner(wanted: set[int] | None, pairs: bool):
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, v, d) for shape, d in zip(batch["form"], batch["doc"]) for k, v in _fills(shape.split(" "), wanted, pairs)]
-            yield pd.DataFrame(rows, columns=["key", "value", "doc"]).astype("int64")
-
-    return align
-
-
-def inspect(text: str, first_words: int = 400) -> tuple[bool, list[tuple[str, int, int]], list[_Unit]]:
-    """(flagged, doubtful places (form, key, slot), units) of one text.
-
-    ``first_words``: characters of other text that may precede an error page.
+    Doubts are (form, key, place, anchors): forms mark, weak, default and blank
+    with a template, filler and page with the hash of one; ``certain`` if a
+    mark, filler or the wording of a page is one without alignment.
+    ``first_words``: characters of other text that may precede such a page; an
+    error further down, or before more text, is a doubt that has to repeat.
     """
-    units = _units(text)
-    doubts: list[tuple[str, int, int]] = []
-    flagged = False
+    masked = mask(text)
+    units = [Unit(raw) for raw in W._SPLIT.split(masked) if raw and not raw.isspace()]
+    doubts: list[tuple] = []
+    certain = False
+    defaults = _DEFAULT.search(masked) is not None
     for unit in units:
-        if unit.strong or unit.stutter:
-            flagged = True
-        for i in unit.weak:
-            doubts.append(("weak", unit.key, i))
-            if (prefix := _prefix(unit, i)) is not None:
-                doubts.append(("weak", prefix, _PREFIX))
-        doubts.extend(("default", unit.key, i) for i in unit.defaults)
-        if not unit.code:
-            flagged |= (_opens_as_filler if unit.named else _is_filler)(_plain(unit.folded))
-            if _BLANK.search(unit.text):
-                doubts.append(("blank", unit.key, -1))
-        doubts.extend(("open", *place) for place in _open_places(unit))
-    if flagged:
-        return True, [], units
-    kinds = [_page_kind(u) for u in units]
-    before = 0
-    for i, (unit, kind) in enumerate(zip(units, kinds)):
-        if kind:
-            later = kinds[i:]
-            rest = sum(len(u.text) for u, k in zip(units[i:], later) if k == 0)
-            if before <= first_words and rest <= max(80, before):
-                if 2 in later:
-                    return True, [], units
-                if not rest and (later.count(1) > 1 or 1 in later and 3 in later):
-                    return True, [], units
-                # Furniture around other words, or doubtful words alone.
-                if 3 in later and rest or not before and not rest and 1 in later:
-                    doubts.append(("page", _page_key(units[i:], later), -1))
+        body = unit.text
+        if "\x02m" in body:
+            certain = True
+        blank = "  " in body or "\t" in body or body[-1:] == ":" or " ." in body or " ," in body
+        if "\x02m" in body or "\x02w" in body or blank or defaults and _DEFAULT.search(body):
+            if (made := template(unit)) is not None:
+                key, places, anchors = made
+                for i, forms in enumerate(places):
+                    doubts.extend((form, key, i, anchors) for form in forms)
+        if "\x02w" in body:
+            doubts.extend(("weak", key, 0, anchors) for key, anchors in prefixes(unit))
+        if not unit.code and _is_filler(unit):
+            certain = True
+            doubts.append(("filler", _filler_key(unit), -1, []))
+    page, pages = _pages(units, first_words)
+    return certain or page, doubts + [("page", key, -1, []) for key in pages], units
+
+
+def _pages(units: list[Unit], first_words: int) -> tuple[bool, set[str]]:
+    """Whether a page is certain, and the keys of what may be one; of a certain page also those of its error units."""
+    keys: set[str] = set()
+    kinds = None
+    # Units without a literal that wording needs are other text, unless some unit beside them is not.
+    if any(u.hits & W.PAGE and _page_kind(u) or u.text[:5].lower() in ("<html", "<!doc") for u in units):
+        kinds = [_page_kind(u) for u in units]
+        certain, before = False, 0
+        for i, (unit, kind) in enumerate(zip(units, kinds)):
+            if kind:
+                later = kinds[i:]
+                rest = sum(len(u.text) for u, k in zip(units[i:], later) if k == 0)
+                if before <= first_words and rest <= max(80, before):
+                    certain = 2 in later or not rest and (later.count(1) > 1 or 1 in later and 3 in later)
+                    if certain or 3 in later and rest or not before and not rest and 1 in later:
+                        keys.add(_page_key(units[i:], later))
                 break
-        else:
             before += len(unit.text)
-    # An error in too much other text for a verdict: its template has to repeat.
-    doubts.extend(("page", _page_key(units[i:], kinds[i:]), -1) for i, kind in enumerate(kinds) if kind == 2)
-    doubts.extend(_like_pages(units, kinds, first_words))
-    return False, doubts, units
+        keys |= {_page_key(units[i:], kinds[i:]) for i, kind in enumerate(kinds) if kind == 2}
+        if certain:
+            return True, keys | {"unit " + u.key() for u, k in zip(units, kinds) if k in (1, 2)}
+    return False, keys | set(_like_pages(units, kinds, first_words))
 
 
-def _like_pages(units: list[_Unit], kinds: list[int], first_words: int) -> Iterator[tuple[str, int, int]]:
-    """Doubts of the whole text and of tails after its first words that look like a page of any wording."""
-    cues = [_cues(_plain(u.folded)) if u.folded and not u.named else 0 for u in units]
+def _like_pages(units: list[Unit], kinds: list[int] | None, first_words: int) -> Iterator[str]:
+    """Keys of the whole text and of tails after its first words that look like a page of any wording."""
     before = 0
+    starts = []
     for i, unit in enumerate(units):
         if before > first_words:
             break
         rest = units[i:]
-        if cues[i] and len(rest) <= _PAGE_UNITS and sum(len(u.text) for u in rest) <= _PAGE_CHARS:
+        if len(rest) <= W._PAGE_UNITS and sum(len(u.text) for u in rest) <= W._PAGE_CHARS:
+            starts.append(i)
+        before += len(unit.text)
+    if not starts:
+        return
+    # All signs together must be there before units are looked at one by one.
+    if (joint := W._cues(W._plain(" \n ".join(u.folded for u in units[starts[0] :])))) & 5 == 0 or joint.bit_count() < 3:
+        return
+    cues = []
+    for i, unit in enumerate(units):
+        if i < starts[0]:
+            cues.append(0)
+            continue
+        unit.weigh()
+        cues.append(W._cues(W._plain(unit.folded)) if unit.folded and not unit.named else 0)
+    kinds = kinds or [_page_kind(u) for u in units]
+    for i in starts:
+        rest = units[i:]
+        if cues[i]:
             said = [(len(u.text), c) for u, c, k in zip(rest, cues[i:], kinds[i:]) if k != 3]
             joint = 0
             for _, c in said:
                 joint |= c
             # Something failed or a status, and two more signs; most of the text takes part.
             if said and joint & 5 and joint.bit_count() >= 3 and 2 * sum(n for n, c in said if c) > sum(n for n, _ in said):
-                yield "page", _page_key(rest, kinds[i:]), -1
-        before += len(unit.text)
-
-
-@lru_cache(1 << 15)
-def _cues(folded: str) -> int:
-    return sum(1 << i for i, pattern in enumerate(_CUES) if pattern.search(folded))
-
+                yield _page_key(rest, kinds[i:])
 
-_PREFIX = 1000
 
+# --- all texts -------------------------------------------------------------------------
 
-def _prefix(unit: _Unit, slot: int) -> int | None:
-    """Key of the unit's beginning, up to and with a slot that is not its first token."""
-    at = -1
-    for i, token in enumerate(unit.tokens):
-        at += token == "\x02"
-        if at == slot:
-            return _hash("^ " + " ".join(unit.tokens[: i + 1])) if i else None
-    return None
-
-
-def _plain(folded: str) -> str:
-    """Numbers alike, but for what may be a status code; units of a template then share a verdict."""
-    return _NUMBER.sub("0", folded)
+_SCAN = pa.schema(
+    [("kind", pa.string()), ("doc_id", pa.int64()), ("form", pa.string()), ("key", pa.string()), ("place", pa.int32()), ("anchors", pa.list_(pa.string())), ("certain", pa.bool_())]
+)
+_SCAN_DDL = "kind string, doc_id bigint, form string, key string, place int, anchors array<string>, certain boolean"
 
 
-@lru_cache(1 << 15)
-def _is_filler(folded: str) -> bool:
-    words = [w.strip(".,;:!?") for w in folded.split()]
-    if _FILLER.search(folded) or _latin(words):
-        return True
-    return len(words) > 2 and 2 * len(set(words)) <= len(words) + 2 and _repeats(words)
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Doubts of documents, and the units that others are aligned with."""
+    for batch in batches:
+        rows: list[list] = [[] for _ in _SCAN]
 
+        def put(*row) -> None:
+            for column, value in zip(rows, row):
+                column.append(value)
 
-def _opens_as_filler(folded: str) -> bool:
-    """Of a sentence that names code: one that merely mentions filler tells of it."""
-    at = _FILLER.search(folded)
-    return at is not None and not any(c.isalnum() or c == _NAME for c in folded[: at.start()])
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+            if not text or text.isspace():
+                continue
+            certain, doubts, units = inspect(text)
+            if certain:
+                put("case", doc_id, None, None, None, None, True)
+            for form, key, place, anchors in doubts:
+                put("doubt", doc_id, form, key, place, anchors, certain)
+            for unit in units:
+                if len(unit.text) > 2:
+                    put("unit", doc_id, None, unit.text, None, None, None)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _SCAN)], schema=_SCAN)
 
 
-def _page_kind(unit: _Unit) -> int:
-    """0 other text, 1 words that may belong to an error page, 2 an error or notice, 3 page furniture."""
-    if not unit.folded:
-        return 0
-    if unit.chrome:
-        return 3 if not _ERROR.search(unit.folded) else 2
-    return _wording(_plain(unit.folded), unit.text[:5].lower() in ("<html", "<!doc"))
+_FILLS_DDL = "key string, place int, filled string, value bigint, lo bigint, hi bigint"
 
 
-@lru_cache(1 << 15)
-def _wording(folded: str, markup: bool) -> int:
-    if markup and _IN_MARKUP.search(folded):
-        return 2
-    if _NOSCRIPT.search(folded) or _ERROR.search(folded) or _NOTICE.search(folded):
-        return 2
-    return 1 if _ERROR_WEAK.search(folded) else 0
+def _filled(text: str, templates, lo: int, hi: int) -> Iterator[tuple]:
+    found = tokens(text)
+    for key in templates:
+        spans = fills(key, found)
+        for place, (i, j) in enumerate(spans or ()):
+            part = found[i:j]
+            if not part:
+                continue
+            if any(t[1] in (MARK, DEFAULT) for t in part):
+                how = "mark"
+            elif all(t[1] == VALUE for t in part):
+                how = "value"
+            elif _words(key) >= _CONTEXT and all(t[1] == VALUE or t[0][0].isalnum() for t in (part[0], part[-1])):
+                how = "word"
+            else:
+                continue
+            yield key, place, how, W._value(" ".join(t[3] if t[1] else t[0] for t in part)), lo, hi
 
 
-def _page_key(units: list[_Unit], kinds: list[int]) -> int:
-    return _hash("\n".join(" ".join(u.tokens) for u, k in zip(units, kinds) if k != 3))
+def _aligner(by_anchor: dict[str, list[str]]):
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text, lo, hi in zip(batch["key"], batch["lo"], batch["hi"]):
+                near = [k for a in _anchors_of(text.lower()) for k in by_anchor.get(a, ())]
+                rows.extend(_filled(text, near, lo, hi))
+            yield pd.DataFrame(rows, columns=["key", "place", "filled", "value", "lo", "hi"])
 
+    return align
 
-_ROWS = "kind string, doc_id bigint, form string, key bigint, slot int, gap bigint, n bigint, lo bigint, hi bigint"
 
+def _anchors_of(text: str) -> list[str]:
+    return [x for n in _ANCHORS if len(text) >= n for x in (f"h{n}:{text[:n]}", f"t{n}:{text[-n:]}")]
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Flags and doubts of documents, and this task's part of the templates."""
-    columns = ["kind", "doc_id", "form", "key", "slot", "gap", "n", "lo", "hi"]
-    templates: dict[tuple, list] = {}
-    places: dict[int, list[tuple[int, int]]] = {}  # a template's slots, worked out once
-    shapes: set[int] = set()  # those given out already
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=columns, dtype=object)
-        for c in ("doc_id", "key", "slot", "gap", "n", "lo", "hi"):
-            out[c] = out[c].astype("Int64")
-        return out
+def _align_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [x for text, key, lo, hi in zip(batch["key"], batch["template"], batch["lo"], batch["hi"]) for x in _filled(text, [key], lo, hi)]
+        yield pd.DataFrame(rows, columns=["key", "place", "filled", "value", "lo", "hi"])
 
-    def learned() -> pd.DataFrame:
-        rows = [("template", None, None, k, s, g, n, lo, hi) for (k, s, g), (n, lo, hi) in templates.items()]
-        templates.clear()
-        return frame(rows)
 
-    def learn(place: tuple, value: int) -> None:
-        held = templates.get(place)
-        if held is None:
-            templates[place] = [1, value, value]
-        else:
-            held[0] += 1
-            held[1], held[2] = min(held[1], value), max(held[2], value)
+def explain(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, reason, aligned) of texts that hold residue, filler or an error page.
 
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            if not text or not text.strip():
-                continue
-            doc_id = None if pd.isna(doc_id) else int(doc_id)
-            flagged, doubts, units = inspect(text)
-            if flagged:
-                rows.append(("flag", doc_id, None, None, None, None, None, None, None))
-            rows.extend(("doubt", doc_id, form, key, slot, None, None, None, None) for form, key, slot in doubts)
-            seen = set()
-            for unit in units:
-                if unit.key in seen:
-                    continue
-                seen.add(unit.key)
-                if _CONTEXT < len(unit.tokens) <= _LONGEST:
-                    shape = " ".join(_shape(unit))
-                    if (held := hash(shape)) not in shapes:
-                        shapes.add(held)
-                        rows.append(("shape", doc_id, shape, None, None, None, None, None, None))
-                slots = places.get(unit.key)
-                if slots is None:
-                    slots = places[unit.key] = list(_gaps(unit))
-                for slot, gap in slots:
-                    learn((unit.key, slot, gap), _value(unit.values[slot]))
-                for slot in {*unit.strong, *unit.weak}:
-                    if (prefix := _prefix(unit, slot)) is not None:
-                        learn((prefix, _PREFIX, None), _value(unit.values[slot]))
-            for key in {key for form, key, _ in doubts if form == "page"}:
-                learn((key, -1, None), 0)
-        yield frame(rows)
-        if len(templates) > _FLUSH:
-            places.clear()
-            shapes.clear()
-            yield learned()
-    yield learned()
-
-
-def residue(df: DataFrame, id_col: str, text_col: str, min_records: int = 2) -> DataFrame:
-    """Ids of texts that hold residue, filler or an error page, one row each.
-
-    ``min_records``: records a template takes before its doubtful places count.
-    Null, empty and blank texts are no case. Ids must be integers; repeated ids
-    are judged text by text and come out once. One map over the texts; only
-    doubtful places and per-task template counts are shuffled.
+    reason: mark, weak, default and blank for slots left unfilled, filler, page;
+    ``aligned`` tells that other records share the template and fill the place,
+    or show the same page or filler. Reasons 'alone' are certain by wording
+    only. Null, empty and blank texts are no case. Ids must be integers;
+    repeated ids are judged text by text. One map over the texts writes doubts
+    and units out; only units that begin or end like a doubtful template are
+    shuffled, each distinct one once. Such a template is not found by its
+    beginning or end where both are slots: its marks then count alone.
     """
     spark = df.sparkSession
     texts = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    found = Stage(spark, "residue").put(texts.mapInPandas(_scan, _ROWS), "scan")
-    places = (
-        found.where("kind = 'template'")
-        .groupBy("key", "slot", "gap")
-        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .where(F.col("n") >= min_records)
-    )
-    doubts = found.where("kind = 'doubt'").select("doc_id", "form", "key", "slot")
-    slots = places.where("lo < hi").select("key", "slot").distinct()
-    named = doubts.where("form IN ('weak', 'default')").join(slots, ["key", "slot"], "left_semi")
-    blank = doubts.where("form = 'blank'").join(
-        places.where("lo < hi AND gap IS NOT NULL").select(F.col("gap").alias("key")).distinct(), "key", "left_semi"
-    )
-    wanted = doubts.where("form = 'open'").groupBy("key").agg(F.min("slot").alias("slot"))
+    stage = Stage(spark, "residue")
+    found = stage.put(texts.mapInArrow(_scan, _SCAN_DDL), "scan", partition_by="kind")
+    doubts = found.where("kind = 'doubt'").select("doc_id", "form", "key", "place", "certain")
+    # Pages and filler that several records show.
+    shown = doubts.where("place = -1").groupBy("form", "key").agg(F.countDistinct(F.coalesce("doc_id", F.lit(-1))).alias("n")).where("n > 1").select("form", "key")
+    whole = doubts.join(shown, ["form", "key"], "left_semi").select("doc_id", "form")
+    # Templates with open places against the units that begin or end like them.
+    wanted = found.where("kind = 'doubt' AND place >= 0").select("key", F.explode("anchors").alias("anchor")).select("key", F.lower("anchor").alias("anchor")).distinct()
+    wanted = stage.put(wanted, "templates")
+    low = F.lower("key")
+    ends = F.flatten(F.array(*[F.array(F.concat(F.lit(f"h{n}:"), F.substring(low, 1, n)), F.concat(F.lit(f"t{n}:"), F.right(low, F.lit(n)))) for n in _ANCHORS]))
+    near = found.where("kind = 'unit'").select("key", "doc_id", F.explode(ends).alias("anchor"))
     held = wanted.limit(_FEW + 1).toPandas()
-    shapes = found.where("kind = 'shape'").groupBy("form").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("doc"))
-    fills = shapes.mapInPandas(_aligner(set(held["key"].tolist()) if len(held) <= _FEW else None, len(held) > _FEW or bool((held["slot"] == _TWO).any())), "key bigint, value bigint, doc bigint")
-    # Two records at least that fill the place with different words.
-    filled = fills.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("value", "doc")])
-    filled = filled.where("min_value < max_value AND min_doc < max_doc").select("key")
-    opened = doubts.where("form = 'open'").join(filled, "key", "left_semi")
-    pages = doubts.where("form = 'page'").join(places.where("slot = -1").select("key").distinct(), "key", "left_semi")
-    flagged = found.where("kind = 'flag'").select("doc_id")
-    return flagged.unionByName(named.select("doc_id")).unionByName(blank.select("doc_id")).unionByName(opened.select("doc_id")).unionByName(pages.select("doc_id")).distinct()
+    if len(held) <= _FEW:
+        by_anchor = {a: sorted(g) for a, g in held.groupby("anchor")["key"]}
+        near = near.join(F.broadcast(wanted.select("anchor").distinct()), "anchor", "left_semi")
+        units = near.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("lo"), F.max(F.coalesce("doc_id", F.lit(-1))).alias("hi"))
+        filled = units.mapInPandas(_aligner(by_anchor), _FILLS_DDL)
+    else:
+        units = near.groupBy("key", "anchor").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("lo"), F.max(F.coalesce("doc_id", F.lit(-1))).alias("hi"))
+        pairs = units.join(wanted.withColumnRenamed("key", "template"), "anchor").select("key", "template", "lo", "hi")
+        filled = pairs.mapInPandas(_align_pairs, _FILLS_DDL)
+    real = F.col("filled") != "mark"
+    proven = (
+        filled.groupBy("key", "place")
+        .agg(
+            F.min(F.when(real, F.col("value"))).alias("a"), F.max(F.when(real, F.col("value"))).alias("b"),
+            F.min(F.when(real, F.col("lo"))).alias("lo"), F.max(F.when(real, F.col("hi"))).alias("hi"),
+            F.count_if(F.col("filled") == "value").alias("n_values"),
+            F.min(F.when(~real, F.col("value"))).alias("c"), F.max(F.when(~real, F.col("value"))).alias("d"),
+        )
+        .select("key", "place", F.coalesce((F.col("a") < F.col("b")) & (F.col("lo") < F.col("hi")), F.lit(False)).alias("differ"), ((F.col("n_values") > 0) | F.coalesce(F.col("c") < F.col("d"), F.lit(False))).alias("seen"))
+    )
+    slots = doubts.where("place >= 0").join(proven, ["key", "place"]).where("differ OR seen AND form IN ('mark', 'weak', 'default')").select("doc_id", "form")
+    aligned = whole.unionByName(slots).distinct()
+    cases = found.where("kind = 'case'").select("doc_id").distinct()
+    alone = cases.join(aligned.select(F.col("doc_id").alias("other")).distinct(), F.col("doc_id").eqNullSafe(F.col("other")), "left_anti")
+    return aligned.select("doc_id", F.col("form").alias("reason"), F.lit(True).alias("aligned")).unionByName(alone.select("doc_id", F.lit("alone").alias("reason"), F.lit(False).alias("aligned")))
+
+
+def residue(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Ids of texts that hold residue, filler or an error page, one row each; see ``explain``."""
+    return explain(df, id_col, text_col).select("doc_id").distinct()
