@@ -122,9 +122,12 @@ def _is_filler(unit: Unit) -> bool:
     if not unit.folded:
         return False
     words = unit.folded.split()
+    n = len(words)
+    if n < 9:
+        words = [w.strip(".,;:!?") for w in words]
     # A word three times over, few words in all, or made of filler's syllables.
-    few = len(words) > 2 and 2 * len(set(words)) <= len(words) + 6
-    latin = len(words) > 4 and any(W._LATIN.fullmatch(w.strip(".,;:!?")) for w in words[:2])
+    few = n > 2 and (different := len(set(words))) < n and 2 * different <= n + 6
+    latin = n > 4 and (W.is_latin(words[0]) or W.is_latin(words[1]))
     if not (few or latin or unit.hits & W.FILLER):
         return False
     unit.weigh()
@@ -276,13 +279,12 @@ def inspect(text: str, first_words: int = 400) -> tuple[bool, list[tuple], list[
     units = [Unit(raw) for raw in W._SPLIT.split(masked) if raw and not raw.isspace()]
     doubts: list[tuple] = []
     certain = False
-    defaults = _DEFAULT.search(masked) is not None
     for unit in units:
         body = unit.text
         if "\x02m" in body:
             certain = True
         blank = "  " in body or "\t" in body or body[-1:] == ":" or " ." in body or " ," in body
-        if "\x02m" in body or "\x02w" in body or blank or defaults and _DEFAULT.search(body):
+        if "\x02m" in body or "\x02w" in body or blank or (unit.hits & W.DEFAULT or unit.code) and _DEFAULT.search(body):
             if (made := template(unit)) is not None:
                 key, places, anchors = made
                 for i, forms in enumerate(places):
@@ -381,9 +383,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 put("case", doc_id, None, None, None, None, True)
             for form, key, place, anchors in doubts:
                 put("doubt", doc_id, form, key, place, anchors, certain)
-            for unit in units:
-                if len(unit.text) > 2:
-                    put("unit", doc_id, None, unit.text, None, None, None)
+            said = [u.text for u in units if len(u.text) > 2]
+            n = len(said)
+            for column, values in zip(rows, (["unit"] * n, [doc_id] * n, [None] * n, said, [None] * n, [None] * n, [None] * n)):
+                column.extend(values)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _SCAN)], schema=_SCAN)
 
 

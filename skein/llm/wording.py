@@ -246,6 +246,11 @@ _LATIN = re.compile(
 )
 
 
+@lru_cache(1 << 15)
+def is_latin(word: str) -> bool:
+    return _LATIN.fullmatch(word) is not None
+
+
 def _latin(words: list[str]) -> bool:
     long = [w for w in words if len(w) > 1]
     return len(long) >= 5 and sum(bool(_LATIN.fullmatch(w)) for w in long) >= 0.9 * len(long) and sum(map(len, long)) >= 4 * len(long) * 0.8
@@ -276,7 +281,7 @@ def _literals(sequence) -> set[str] | None:
             inner = _literals(arg[1])
         if inner:
             found.append(inner)
-    return max(found, key=lambda x: min(map(len, x)), default=None)
+    return max(found, key=lambda x: min(len(w.strip()) for w in x), default=None)
 
 
 def needed(pattern: str) -> set[str]:
@@ -286,14 +291,15 @@ def needed(pattern: str) -> set[str]:
     return set().union(*(x for p in parts if (x := _literals(p))))
 
 
-FILLER, ERROR, WEAK, NOTICE, CHROME = 1, 2, 4, 8, 16
+FILLER, ERROR, WEAK, NOTICE, CHROME, DEFAULT = 1, 2, 4, 8, 16, 32
 PAGE = ERROR | WEAK | NOTICE | CHROME
 _NEEDS: dict[str, int] = {}
 for _bit, _words in (
     (FILLER, needed(_FILLER.pattern)),
     (ERROR, needed(_ERROR.pattern) | needed(_IN_MARKUP.pattern)),
     (WEAK, needed(_ERROR_WEAK.pattern)),
-    (CHROME, needed(_CHROME.pattern)),
+    (CHROME, needed(_CHROME.pattern) - {"."}),  # a line that is a host's name only counts beside others
+    (DEFAULT, {fold(w) for w in _DEFAULTS}),
     (NOTICE, needed(_SCRIPT) | needed(_NOTICE_START) | {"noscript", "有効", "必要"}),
 ):
     for _w in _words:
@@ -304,7 +310,7 @@ if ahocorasick:
         _AUTOMATON.add_word(_w, _bit)
     _AUTOMATON.make_automaton()
 else:
-    _ANY = {b: re.compile("|".join(re.escape(w) for w, x in _NEEDS.items() if x & b)) for b in (FILLER, ERROR, WEAK, NOTICE, CHROME)}
+    _ANY = {b: re.compile("|".join(re.escape(w) for w, x in _NEEDS.items() if x & b)) for b in (FILLER, ERROR, WEAK, NOTICE, CHROME, DEFAULT)}
 
 
 def bits(folded: str) -> int:
