@@ -284,7 +284,9 @@ def inspect(text: str, first_words: int = 400) -> tuple[bool, list[tuple], list[
         if "\x02m" in body:
             certain = True
         blank = "  " in body or "\t" in body or body[-1:] == ":" or " ." in body or " ," in body
-        if "\x02m" in body or "\x02w" in body or blank or (unit.hits & W.DEFAULT or unit.code) and _DEFAULT.search(body):
+        blank = blank and not unit.code and W._BLANK.search(body) is not None
+        default = (unit.hits if unit.folded else W.bits(body.lower())) & W.DEFAULT and _DEFAULT.search(body)
+        if "\x02m" in body or "\x02w" in body or blank or default:
             if (made := template(unit)) is not None:
                 key, places, anchors = made
                 for i, forms in enumerate(places):
@@ -336,7 +338,7 @@ def _like_pages(units: list[Unit], kinds: list[int] | None, first_words: int) ->
     if not starts:
         return
     # All signs together must be there before units are looked at one by one.
-    if (joint := W._cues(W._plain(" \n ".join(u.folded for u in units[starts[0] :])))) & 5 == 0 or joint.bit_count() < 3:
+    if not W.may_be_page(" \n ".join(u.folded for u in units[starts[0] :])):
         return
     cues = []
     for i, unit in enumerate(units):
@@ -390,11 +392,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _SCAN)], schema=_SCAN)
 
 
+@lru_cache(1 << 14)
+def _probe(template: str) -> str:
+    """The longest word of a template, which a unit that fits must hold."""
+    return max((t for s in _parsed(template) for t in s if t.isalpha()), key=len, default="")
+
+
 _FILLS_DDL = "key string, place int, filled string, value bigint, lo bigint, hi bigint"
 
 
 def _filled(text: str, templates, lo: int, hi: int) -> Iterator[tuple]:
-    found = tokens(text)
+    folded = fold(text)
+    templates = [k for k in templates if _probe(k) in folded]
+    found = tokens(text) if templates else []
     for key in templates:
         spans = fills(key, found)
         for place, (i, j) in enumerate(spans or ()):

@@ -354,6 +354,16 @@ def _wording(folded: str, markup: bool) -> int:
     return 1 if _ERROR_WEAK.search(folded) else 0
 
 
+def may_be_page(folded: str) -> bool:
+    """Whether a whole text shows three of the four signs, a failure or a status among them."""
+    failed, reader, status, thing = _CUES
+    seen = (thing.search(folded) is not None) + (status.search(folded) is not None)
+    if not seen:
+        return False  # the other two are not enough
+    seen += failed.search(folded) is not None
+    return seen >= 2 and seen + (reader.search(folded) is not None) >= 3
+
+
 @lru_cache(1 << 15)
 def _cues(folded: str) -> int:
     return sum(1 << i for i, pattern in enumerate(_CUES) if pattern.search(folded))
