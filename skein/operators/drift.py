@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.canonical import canonical_text
 from skein.operators.shred import parse_json
+from skein.runtime import Stage
 
 JSON_TYPES = {"string": "string", "bigint": "number", "double": "number", "boolean": "boolean", "array<string>": "array"}
 
@@ -101,12 +102,18 @@ def _cast(value, kind: str):
     return None
 
 
+def promote(ingested: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """The table with columns for fields approved since, empty until ``replay`` fills them from what was rescued."""
+    added = {name: F.lit(None).cast(kind) for name, kind in fields.items()}
+    return ingested.select(*[c for c in ingested.columns if c != "_rescued"], *[v.alias(k) for k, v in added.items()], "_rescued")
+
+
 def replay(ingested: DataFrame, target: dict[str, str], keep: list[str], approved: dict[str, str]) -> DataFrame:
     """Rescued values moved into typed columns where approved and castable.
 
     ``approved``: other name -> target field. A target field's own rescued
     values come first, then other names in alphabetical order; what does not
-    cast, or finds its column filled, stays rescued.
+    cast, finds its column filled or is an explicit null stays rescued.
     """
     sources: dict[str, list[str]] = {c: [c] for c in target}
     for other in sorted(approved):
@@ -125,9 +132,7 @@ def replay(ingested: DataFrame, target: dict[str, str], keep: list[str], approve
                         for source in sources[name]:
                             if source not in left:
                                 continue
-                            if left[source] is None:
-                                del left[source]
-                            elif typed[i] is None and (cast := _cast(left[source], kind)) is not None:
+                            if left[source] is not None and typed[i] is None and (cast := _cast(left[source], kind)) is not None:
                                 typed[i] = cast
                                 del left[source]
                     rescued = json.dumps(left) if left else None
@@ -137,41 +142,55 @@ def replay(ingested: DataFrame, target: dict[str, str], keep: list[str], approve
     return ingested.mapInPandas(run, _schema(ingested, keep, target))
 
 
+def _spell(value) -> str:
+    """A rescued value as text, equal for equal JSON values, as ``profile`` spells typed ones."""
+    if isinstance(value, str):
+        return "s" + value
+    if isinstance(value, bool):
+        return "b" + ("true" if value else "false")
+    if isinstance(value, float) and value.is_integer() and abs(value) < 2**63:
+        value = int(value)
+    if isinstance(value, (int, float)):
+        return f"n{value}"
+    if isinstance(value, list) and all(isinstance(x, str) for x in value):
+        return "a" + "".join(f"{len(x)}:{x}" for x in value)
+    return "j" + (canonical_text(json.dumps(value)) or "")
+
+
 def profile(ingested: DataFrame, target: dict[str, str], keep: list[str]) -> DataFrame:
     """(``keep``, field, json_type, value_digest) of every field of every record.
 
-    Read off the typed columns and the rescued object; null values have a null
-    type and digest.
+    Typed columns are spelled in the JVM, only rescued objects are taken apart
+    in Python; null values have a null type and digest.
     """
     types = dict(ingested.dtypes)
+    column = lambda c: F.col(f"`{c}`")
+    spelled = {
+        "string": lambda c: F.concat(F.lit("s"), c),
+        "boolean": lambda c: F.concat(F.lit("b"), c.cast("string")),
+        "bigint": lambda c: F.concat(F.lit("n"), c.cast("string")),
+        "array<string>": lambda c: F.concat(F.lit("a"), F.array_join(F.transform(c, lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)), "")),
+    }
+    entries = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(JSON_TYPES[t]).alias("json_type"), spelled[t](column(c)).alias("value")) for c, t in target.items() if t in spelled])
+    typed = ingested.select(*map(column, keep), F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("e")).select(*map(column, keep), "e.*")
+    doubles = [c for c, t in target.items() if t == "double"]
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "field string, json_type string, value string"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for values in batch[[*keep, *target, "_rescued"]].itertuples(index=False, name=None):
-                kept, typed, rescued = values[: len(keep)], values[len(keep) : -1], values[-1]
-                for (name, kind), value in zip(target.items(), typed):
-                    if kind == "array<string>":
-                        if value is None:
-                            continue
-                        value = list(value)
-                    elif value is None or value is pd.NA or value != value:
-                        continue
-                    elif kind == "bigint":
-                        value = int(value)
-                    elif kind == "boolean":
-                        value = bool(value)
-                    rows.append((*kept, name, JSON_TYPES[kind], canonical_text(json.dumps(value))))
-                for name, value in json.loads(rescued).items() if rescued else ():
-                    rows.append((*kept, name, json_type(value), None if value is None else canonical_text(json.dumps(value))))
+            for values in batch[[*keep, *doubles, "_rescued"]].itertuples(index=False, name=None):
+                kept = values[: len(keep)]
+                members = [(c, float(v)) for c, v in zip(doubles, values[len(keep) :]) if v is not None and v == v]
+                members += json.loads(values[-1]).items() if values[-1] else ()
+                rows.extend((*kept, name, json_type(value), None if value is None else _spell(value)) for name, value in members)
             yield pd.DataFrame(rows, columns=[*keep, "field", "json_type", "value"], dtype=object)
 
-    return (
-        ingested.mapInPandas(run, schema)
-        .withColumn("value_digest", F.unhex(F.md5("value")))
-        .drop("value")
-    )
+    some = F.col("_rescued").isNotNull()
+    for c in doubles:
+        some = some | column(c).isNotNull()
+    rescued = ingested.where(some).select(*map(column, [*keep, *doubles]), "_rescued").mapInPandas(run, schema)
+    return typed.unionByName(rescued).withColumn("value_digest", F.unhex(F.md5("value"))).drop("value")
 
 
 def field_changes(exports: DataFrame, fields: DataFrame) -> DataFrame:
@@ -191,7 +210,8 @@ def field_changes(exports: DataFrame, fields: DataFrame) -> DataFrame:
     now = catalogue.join(chain, "export_id").select("export_id", "field", F.col("types").alias("new_types"))
     was = catalogue.select(F.col("export_id").alias("previous"), "field", F.col("types").alias("old_types"))
     was = was.join(chain, "previous").select("export_id", "field", "old_types")
-    both = now.join(was, ["export_id", "field"], "full_outer")
+    stage = Stage(fields.sparkSession, "changes")
+    both = stage.put(now.join(was, ["export_id", "field"], "full_outer"), "both")
     retyped = both.where(
         (F.size("new_types") > 0) & (F.size("old_types") > 0) & (F.col("new_types") != F.col("old_types"))
     ).select("export_id", F.lit("type_changed").alias("change_type"), F.col("field").alias("old_field"), F.col("field").alias("new_field"))
@@ -222,6 +242,7 @@ def field_changes(exports: DataFrame, fields: DataFrame) -> DataFrame:
         .agg(F.bool_and((F.col("lo") == F.col("hi")) & (F.col("lo") == F.col("old_lo")) & (F.col("lo") == F.col("old_hi"))).alias("same"))
         .where("same")
     )
+    pairs = stage.put(pairs, "pairs")
     renamed = pairs.select("export_id", F.lit("renamed").alias("change_type"), "old_field", "new_field")
     added = gained.join(pairs.select("export_id", F.col("new_field").alias("field")), ["export_id", "field"], "left_anti").select(
         "export_id", F.lit("added").alias("change_type"), F.lit("").alias("old_field"), F.col("field").alias("new_field")

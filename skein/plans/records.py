@@ -233,27 +233,41 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 7. drifting fields -----------------------------------------------------------
 
 
-def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.ingest(table(spark, sf_dir, "fact_exports"), "raw_record", FACT_SCHEMA, ["export_id", "line_no"])
+#: New fields that were approved for columns of their own.
+PROMOTED = {"note": "string", "owner_team": "string", "reviewed": "string", "origin_ref": "string", "score": "double"}
 
 
-def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ingested = _ingested(spark, sf_dir)
-    fields = drift.profile(ingested.withColumn("record_key", F.col("fact_id")), FACT_SCHEMA, ["export_id", "record_key"])
-    fields = Stage(spark, "drift").put(fields.distinct(), "fields")
+def _ingested(spark: SparkSession, sf_dir: str, stage: Stage) -> DataFrame:
+    return stage.put(drift.ingest(table(spark, sf_dir, "fact_exports"), "raw_record", FACT_SCHEMA, ["export_id", "line_no"]), "ingested")
+
+
+def _changes(spark: SparkSession, sf_dir: str, ingested: DataFrame, stage: Stage) -> DataFrame:
+    fields = drift.profile(ingested.select("*", F.col("fact_id").alias("record_key")), FACT_SCHEMA, ["export_id", "record_key"])
+    fields = stage.put(fields.distinct(), "fields")
     exports = table(spark, sf_dir, "fact_exports").select("export_id", "feed", "exported_at")
     return drift.field_changes(exports, fields)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _changes(spark, sf_dir).select("export_id", "change_type", "old_field", "new_field")
+    stage = Stage(spark, "drift")
+    return _changes(spark, sf_dir, _ingested(spark, sf_dir, stage), stage).select("export_id", "change_type", "old_field", "new_field")
 
 
 def p7_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one consistent table, with approved names replayed; lists as text."""
-    approved = drift.other_names(_changes(spark, sf_dir), FACT_SCHEMA)
-    replayed = drift.replay(_ingested(spark, sf_dir), FACT_SCHEMA, ["export_id", "line_no"], approved)
-    return replayed.withColumn("tags", F.array_join("tags", ","))
+    """The one consistent table: approved names replayed, approved new fields promoted.
+
+    Lists, lines and flags come out as text, as comparisons of results take nulls there in different ways.
+
+    n_rescued counts the members of a record that no column holds.
+    """
+    stage = Stage(spark, "drift")
+    ingested, target = _ingested(spark, sf_dir, stage), {**FACT_SCHEMA, **PROMOTED}
+    approved = drift.other_names(_changes(spark, sf_dir, ingested, stage), target)
+    replayed = drift.replay(drift.promote(ingested, PROMOTED), target, ["export_id", "line_no"], approved)
+    left = F.coalesce(F.size(F.json_object_keys("_rescued")), F.lit(0))
+    return replayed.select("export_id", "line_no", *target, left.alias("n_rescued")).withColumns(
+        {"tags": F.array_join("tags", ","), **{c: F.col(c).cast("string") for c in ("start_line", "end_line", "is_test")}}
+    )
 
 
 QUERIES = {
@@ -277,4 +291,4 @@ QUERIES = {
     "p7_table": p7_table,
 }
 
-SQL = records_sql.SQL
+SQL = {**records_sql.SQL, "p7_table": records_sql.p7_table({**FACT_SCHEMA, **PROMOTED})}

@@ -206,7 +206,7 @@ SELECT arg_min(r.run_no, r.cutoff_at), 'fact', f.fact_id
 FROM semantic_facts f JOIN runs r ON f.arrived_at <= r.cutoff_at GROUP BY f.fact_id
 """
 
-P7 = """
+_P7 = """
 WITH lines AS (
   SELECT DISTINCT export_id, raw_record::JSON AS j FROM fact_exports
   WHERE json_valid(raw_record) AND json_type(raw_record) = 'OBJECT'
@@ -235,7 +235,9 @@ WITH lines AS (
   JOIN vals nv ON nv.export_id = g.export_id AND nv.field = g.field AND nv.v IS NOT NULL
   JOIN vals ov ON ov.export_id = g.previous AND ov.field = l.field AND ov.v IS NOT NULL AND ov.fact_id = nv.fact_id
   WHERE g.now_ AND NOT g.was GROUP BY ALL HAVING bool_and(nv.v = ov.v)
-)
+)"""
+
+P7 = _P7 + """
 SELECT export_id, 'renamed' AS change_type, old_field, new_field FROM renamed
 UNION ALL
 SELECT export_id, 'added', '', field FROM both_ b WHERE now_ AND NOT was
@@ -247,7 +249,50 @@ UNION ALL
 SELECT export_id, 'type_changed', field, field FROM both_ WHERE was AND now_ AND len(now_ts) > 0 AND len(was_ts) > 0 AND now_ts <> was_ts
 """
 
+
+def p7_table(target: dict[str, str]) -> str:
+    """The consistent table for a target schema, other names found by the renames."""
+    fixed = ", ".join(f"('{c}', '{t}')" for c, t in target.items())
+    number = "json_type(v) IN ('UBIGINT', 'BIGINT', 'DOUBLE')"
+    columns = ", ".join(f"max(val) FILTER (field = '{c}'){'::DOUBLE' if t == 'double' else ''} AS {c}" for c, t in target.items())
+    return (
+        _P7.replace("WITH lines", "WITH RECURSIVE lines")
+        + f""", fixed(field, kind) AS (VALUES {fixed}),
+leads AS (
+  SELECT field, field AS name FROM fixed
+  UNION
+  SELECT l.field, r.new_field FROM leads l JOIN renamed r ON r.old_field = l.name WHERE r.new_field NOT IN (SELECT field FROM fixed)
+), names AS (
+  SELECT field, field AS name, 0 AS o FROM fixed
+  UNION ALL SELECT min(field), name, 1 FROM leads WHERE name <> field GROUP BY name HAVING count(DISTINCT field) = 1
+), recs AS (
+  SELECT row_number() OVER () AS rid, export_id, line_no, raw_record::JSON AS j FROM fact_exports
+  WHERE json_valid(raw_record) AND json_type(raw_record) = 'OBJECT'
+), cells AS (
+  SELECT rid, n.field, n.o, n.name, f.kind, json_extract(j, '$."' || n.name || '"') AS v FROM recs, names n JOIN fixed f USING (field)
+), casted AS (
+  SELECT rid, field, o, name, CASE kind
+    WHEN 'string' THEN CASE WHEN json_type(v) = 'VARCHAR' THEN v ->> '$' WHEN {number} THEN v::VARCHAR END
+    WHEN 'bigint' THEN CASE WHEN json_type(v) IN ('UBIGINT', 'BIGINT') OR json_type(v) = 'VARCHAR' AND regexp_full_match(v ->> '$', '[+-]?\\d+') THEN v ->> '$'
+                            WHEN json_type(v) = 'DOUBLE' AND v::DOUBLE = floor(v::DOUBLE) THEN v::DOUBLE::BIGINT::VARCHAR END
+    WHEN 'double' THEN CASE WHEN {number} THEN v::VARCHAR WHEN json_type(v) = 'VARCHAR' THEN try_cast(v ->> '$' AS DOUBLE)::VARCHAR END
+    WHEN 'boolean' THEN CASE WHEN json_type(v) = 'BOOLEAN' THEN v::VARCHAR WHEN json_type(v) = 'VARCHAR' AND (v ->> '$') IN ('true', 'false') THEN v ->> '$' END
+    ELSE CASE WHEN json_type(v) = 'ARRAY' AND len(list_filter(json_transform(v, '["JSON"]'), lambda x: json_type(x) = 'VARCHAR')) = json_array_length(v)
+              THEN array_to_string(json_transform(v, '["VARCHAR"]'), ',') END
+  END AS val FROM cells WHERE v IS NOT NULL AND json_type(v) <> 'NULL'
+), best AS (SELECT rid, field, arg_min(val, (o, name)) AS val FROM casted WHERE val IS NOT NULL GROUP BY rid, field)
+SELECT r.export_id, r.line_no, {columns}, (len(json_keys(any_value(r.j))) - count(b.field))::INT AS n_rescued
+FROM recs r LEFT JOIN best b ON b.rid = r.rid GROUP BY r.rid, r.export_id, r.line_no"""
+    )
+
+
+P4_INTERVALS = _P4 + """, islands AS (
+  SELECT entity, k, v, i - row_number() OVER (PARTITION BY entity, k, v ORDER BY i) AS g, i FROM rows_
+), spans AS (SELECT entity, k, v, g, min(i) - 1 AS first, count(*) AS n_held FROM islands GROUP BY ALL)
+SELECT entity, first::INT AS first, n_held::INT AS n_held, count(*)::BIGINT AS n_versions FROM spans GROUP BY ALL"""
+
 SQL = {
+    "p4_intervals": P4_INTERVALS,
     "p1_found": P1,
     "p1_leaves": P1_LEAVES,
     "p1_values": P1_VALUES,

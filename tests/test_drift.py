@@ -61,7 +61,7 @@ def test_rescue_and_replay(spark):
     assert (after[0].n, after[0].ok, after[0].path) == (12, True, None)
     assert json.loads(after[0]._rescued) == {"path": {"root": "r"}, "unknown": [1, {"x": None}]}
     assert (after[1].fact_id, after[1].n, after[1].path) == ("5", None, "p")
-    assert json.loads(after[1]._rescued) == {"n": 2.5, "tags": "t,u"}
+    assert json.loads(after[1]._rescued) == {"n": 2.5, "ok": None, "tags": "t,u"}
     assert after[2].path == "q" and json.loads(after[2]._rescued) == {"n": 2**70, "file": 3}
 
 
@@ -72,3 +72,11 @@ def test_names_that_lead_to_two_fields_are_not_approved(spark):
 
 def test_empty(spark):
     assert changes(spark, []) == []
+
+
+def test_promoted_fields_get_columns_and_are_filled(spark):
+    data = [(1, "f", E1, {"fact_id": "a", "score": 1.5, "team": "x"}), (1, "f", E1, {"fact_id": "b", "score": "2", "team": None}), (1, "f", E1, {"fact_id": "c", "score": "none"})]
+    typed = drift.ingest(exports(spark, data), "raw", TARGET, ["line_no"])
+    more = {"score": "double", "team": "string"}
+    got = {r.fact_id: (r.score, r.team, r._rescued) for r in drift.replay(drift.promote(typed, more), {**TARGET, **more}, ["line_no"], {}).collect()}
+    assert got == {"a": (1.5, "x", None), "b": (2.0, None, '{"team": null}'), "c": (None, None, '{"score": "none"}')}
