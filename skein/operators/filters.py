@@ -32,12 +32,18 @@ def by_kind(edges: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str,
     return edges.where(~F.coalesce(F.col("kind").isin(*exclude), F.lit(False))) if exclude else edges
 
 
-def connection_basis() -> Column:
-    """What kind of evidence an edge rests on, from its status and confidence."""
+def connection_basis(sites: str = "n_sites", guessed: str = "n_guessed") -> Column:
+    """What kind of evidence an edge rests on, from its status, confidence and callsites.
+
+    ``sites`` and ``guessed`` name columns that count its callsites and those
+    that are guesses; null is none.
+    """
     status, confidence = F.coalesce("resolution_status", F.lit("resolved")), F.coalesce("confidence", F.lit("confirmed"))
+    n, bad = F.coalesce(sites, F.lit(0)), F.coalesce(guessed, F.lit(0))
     return (
         F.when(status != "resolved", "unresolved")
-        .when(confidence == "heuristic", "heuristic")
+        .when((confidence == "heuristic") | ((n > 0) & (bad == n)), "heuristic")
+        .when(bad > 0, "mixed_evidence")
         .when(confidence == "runtime-only", "runtime_evidence")
         .otherwise("static_evidence")
     )

@@ -9,19 +9,19 @@ from skein.operators.traverse import components
 from skein.runtime import Stage
 
 THRESHOLD = 0.82
-MAX_GRAMS = 512
 SKETCH = 128
 
 
-def grams(text: Column, n: int = 3) -> Column:
+def grams(text: Column, n: int = 3, limit: int | None = None) -> Column:
     """Distinct sorted n-grams of the words of a text.
 
     Words are runs of letters and underscores, in lower case. Of fewer than n
-    words the words themselves; at most the first 512 in order.
+    words the words themselves. All of them, unless ``limit`` asks for the first in order.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z_]+)"), F.lit(1))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.slice(F.array_sort(F.array_distinct(F.when(F.size(words) < n, words).otherwise(runs))), 1, MAX_GRAMS)
+    members = F.array_sort(F.array_distinct(F.when(F.size(words) < n, words).otherwise(runs)))
+    return members if limit is None else F.slice(members, 1, limit)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skein.plans import graphs, records, reports
+from skein.plans import graphs, ingest, records, reports
 
-_MODULES = (records, graphs, reports)
+_MODULES = (records, graphs, reports, ingest)
 
 FLAGSHIP = records.p3_found
 

@@ -148,12 +148,42 @@ def confidence_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, edges="id kind confidence").edges.select("kind", F.explode(allowed).alias("profile")).groupBy("profile", "kind").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-@query("""
-SELECT CASE WHEN coalesce(resolution_status, 'resolved') <> 'resolved' THEN 'unresolved' WHEN confidence = 'heuristic' THEN 'heuristic'
-            WHEN confidence = 'runtime-only' THEN 'runtime_evidence' ELSE 'static_evidence' END AS basis, kind, count(*)::BIGINT AS n_edges
-FROM e GROUP BY ALL""")
+_SITES = """
+, f AS (SELECT DISTINCT source, target, edge_kind AS kind, coalesce(path, '') || ':' || coalesce(start_line::VARCHAR, '') AS site, confidence FROM semantic_facts
+        WHERE fact_kind = 'edge' AND source IS NOT NULL AND target IS NOT NULL),
+s AS (SELECT source, target, kind, count(DISTINCT site)::BIGINT AS n_sites, count(DISTINCT site) FILTER (coalesce(confidence, '') <> 'heuristic') AS n_sure FROM f GROUP BY ALL)"""
+
+
+def _callsites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target, kind, n_sites, n_guessed) from the facts of edges; a place that any delivery is sure of is no guess."""
+    facts = table(spark, sf_dir, "semantic_facts").where("fact_kind = 'edge' AND source IS NOT NULL AND target IS NOT NULL")
+    site = F.concat(F.coalesce("path", F.lit("")), F.lit(":"), F.coalesce(F.col("start_line").cast("string"), F.lit("")))
+    sites = facts.groupBy("source", "target", F.col("edge_kind").alias("kind"), site.alias("site")).agg(
+        F.bool_and(F.coalesce("confidence", F.lit("")) == "heuristic").alias("guessed")
+    )
+    return sites.groupBy("source", "target", "kind").agg(F.count(F.lit(1)).alias("n_sites"), F.count_if("guessed").alias("n_guessed"))
+
+
+@query(_SITES + """
+SELECT CASE WHEN coalesce(resolution_status, 'resolved') <> 'resolved' THEN 'unresolved'
+            WHEN confidence = 'heuristic' OR s.n_sites > 0 AND s.n_sure = 0 THEN 'heuristic' WHEN s.n_sure < s.n_sites THEN 'mixed_evidence'
+            WHEN confidence = 'runtime-only' THEN 'runtime_evidence' ELSE 'static_evidence' END AS basis, e.kind, count(*)::BIGINT AS n_edges
+FROM e LEFT JOIN s ON s.source = e.source AND s.target = e.target AND s.kind = e.kind GROUP BY ALL""")
 def connection_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, edges="id kind confidence resolution_status").edges.groupBy(filters.connection_basis().alias("basis"), "kind").agg(F.count(F.lit(1)).alias("n_edges"))
+    edges = load(spark, sf_dir, edges="id source target kind confidence resolution_status").edges
+    joined = edges.join(_callsites(spark, sf_dir), ["source", "target", "kind"], "left")
+    return joined.groupBy(filters.connection_basis("n_sites", "n_guessed").alias("basis"), "kind").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+@query(_SITES + """
+, g AS (SELECT DISTINCT source, target, kind FROM e WHERE target IS NOT NULL)
+SELECT s.source, s.target, s.kind, s.n_sites, (s.n_sites - s.n_sure)::BIGINT AS n_guessed, CASE WHEN g.source IS NULL THEN 'no_edge' ELSE 'edge' END AS state
+FROM s LEFT JOIN g ON g.source = s.source AND g.target = s.target AND g.kind = s.kind""")
+def callsites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of each call, how many are guesses, and whether the graph has an edge for it."""
+    key = ["source", "target", "kind"]
+    edges = load(spark, sf_dir).edges.where("target IS NOT NULL").select(*key).distinct().withColumn("has", F.lit(True))
+    return _callsites(spark, sf_dir).join(edges, key, "left").select(*key, "n_sites", "n_guessed", F.when(F.col("has"), "edge").otherwise("no_edge").alias("state"))
 
 
 @query("""
@@ -536,20 +566,56 @@ def stale_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deltas.stale_targets(g.edges, g.nodes, born).groupBy("kind").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
-@query(f"""
-, x AS (SELECT CASE
-    WHEN regexp_matches(t, 'assert_called|assert_any_call|assert_has_calls|mock\\.|mocker\\.|monkeypatch\\.') THEN 'mock_or_assertion'
-    WHEN regexp_matches(t, '{"|".join(triage.FRAMEWORK_MARKS)}') THEN 'framework_magic'
-    WHEN regexp_matches(t, '{"|".join(m.replace(".", chr(92) + ".") for m in triage.SERVICE_METHODS)}') OR starts_with(t, 'ext:') THEN 'external_service_boundary'
-    WHEN resolution_status = 'partial' THEN 'missing_type_context'
-    WHEN regexp_matches(t, 'getattr|importlib|__import__|eval\\(|exec\\(') THEN 'generated_or_reflection'
-    WHEN kind = 'dynamic_call' THEN 'true_dynamic_call' ELSE 'static_candidate' END AS category
-  FROM (SELECT *, lower(coalesce(target, '')) AS t FROM e WHERE coalesce(resolution_status, '') <> 'resolved')),
-c(category, risk, blocking) AS (VALUES {", ".join(f"('{c}', '{r}', {b})" for c, (r, b) in triage.CATEGORIES.items())})
-SELECT c.category, c.risk, c.blocking, (SELECT count(*) FROM x WHERE x.category = c.category)::BIGINT AS n_calls FROM c""")
+def _has(column: str, words, how: str = "contains") -> str:
+    return "(" + " OR ".join(f"{how}({column}, '{w}')" for w in words) + ")"
+
+
+#: The rules of the triage over facts that are not resolved; a fact delivered in several ways is judged in each.
+_UNRESOLVED = f"""
+WITH u AS (
+  SELECT DISTINCT fact_id, path, start_line, nullif(split_part(coalesce(target, ''), ':', 2), '') AS raw_expression,
+         resolution_json ->> '$.fallbacks[0]' AS failed_strategy, properties_json
+  FROM semantic_facts WHERE (resolution_json ->> '$.status') <> 'resolved'
+), t AS (
+  SELECT *, lower(coalesce(raw_expression, '<unknown>')) AS x, coalesce(failed_strategy, 'unknown') AS f,
+         lower(replace(coalesce(path, ''), chr(92), '/')) AS file FROM u
+), judged AS (
+  SELECT fact_id, path, start_line, raw_expression, failed_strategy, CASE
+    WHEN f = 'union_receiver' AND (properties_json ->> '$.semantic_reason') = 'ambiguous_union_receiver' THEN 'true_dynamic_call'
+    WHEN {_has('x', triage.MOCK_PARTS)} THEN 'mock_or_assertion'
+    WHEN x IN ({_names(triage.FRAMEWORK_NAMES)}) THEN 'framework_magic'
+    WHEN {_has('x', triage.DECORATOR_ENDS, 'ends_with')} AND {_has('x', triage.FRAMEWORK_RECEIVERS)} THEN 'framework_magic'
+    WHEN NOT {_has('x', triage.DECORATOR_ENDS, 'ends_with')} AND {_has('x', triage.FRAMEWORK_PARTS)} THEN 'framework_magic'
+    WHEN x IN ({_names(triage.SERVICE_NAMES)}) OR {_has('x', triage.SERVICE_METHODS)} AND {_has('x', triage.SERVICE_RECEIVERS)} THEN 'external_service_boundary'
+    WHEN f IN ({_names(triage.UNTYPED_STRATEGIES)}) OR {" OR ".join(f"coalesce(properties_json ->> '$.{n}', '') = 'true'" for n in triage.UNTYPED_FLAGS)}
+      OR lower(coalesce(properties_json ->> '$.receiver_type_status', '')) IN ({_names(triage.UNTYPED_STATES)}) THEN 'missing_type_context'
+    WHEN {_has('file', triage.GENERATED_PATHS)} OR {_has('x', triage.REFLECTION_PARTS)} THEN 'generated_or_reflection'
+    WHEN f IN ({_names(triage.DYNAMIC_STRATEGIES)}) OR coalesce(properties_json ->> '$.callee_binding_kind', '') IN ({_names(triage.DYNAMIC_BINDINGS)}) THEN 'true_dynamic_call'
+    ELSE 'static_candidate' END AS category FROM t
+), c(category, risk, blocking) AS (VALUES {", ".join(f"('{c}', '{r}', {b})" for c, (r, b) in triage.CATEGORIES.items())})"""
+
+
+def _unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.get_json_object("resolution_json", "$.status")
+    return table(spark, sf_dir, "semantic_facts").where(status != "resolved").select(
+        "fact_id", "path", "start_line", F.nullif(F.split_part(F.coalesce("target", F.lit("")), F.lit(":"), F.lit(2)), F.lit("")).alias("raw_expression"),
+        F.get_json_object("resolution_json", "$.fallbacks[0]").alias("failed_strategy"), "properties_json",
+    ).distinct()
+
+
+@query(_UNRESOLVED + """
+SELECT j.fact_id, j.path, coalesce(j.start_line, -1)::INT AS start_line, j.raw_expression, j.failed_strategy, j.category, c.risk AS risk_level, c.blocking AS release_blocking
+FROM judged j JOIN c USING (category)""", graph=False)
+def unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fact that is not resolved, with why; -1 for no line."""
+    found = triage.annotate(_unresolved(spark, sf_dir)).withColumn("start_line", F.coalesce("start_line", F.lit(-1)))
+    return found.select("fact_id", "path", "start_line", "raw_expression", "failed_strategy", "category", "risk_level", "release_blocking")
+
+
+@query(_UNRESOLVED + """
+SELECT c.category, c.risk, c.blocking, (SELECT count(*) FROM judged j WHERE j.category = c.category)::BIGINT AS n_calls FROM c""", graph=False)
 def unresolved_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = load(spark, sf_dir, edges="id target kind resolution_status").edges.where(F.coalesce("resolution_status", F.lit("")) != "resolved")
-    return triage.triage_counts(edges, "target", "kind", "resolution_status")
+    return triage.triage_counts(_unresolved(spark, sf_dir))
 
 
 @query(f"""
@@ -699,9 +765,9 @@ def workspace_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""
-SELECT source, count(*)::BIGINT AS n_texts, count(*) FILTER (regexp_matches(text, '(?i)\\b[A-Za-z0-9_-]*(?:password|passwd|secret|token|api[_-]?key|private[_-]?key)[A-Za-z0-9_-]*\\s*(?::|=|\\bis\\b|\\bwas\\b)\\s*[^\\s,;]+'))::BIGINT AS n_redacted
-FROM documents WHERE text IS NOT NULL GROUP BY source""")
+@query("SELECT source, count(*)::BIGINT AS n_texts, count(*) FILTER ("
+    + " OR ".join(f"regexp_matches(text, '{p}', '{'i' if any_case else 'c'}')" for p, _, any_case in identity.DETECTORS)
+    + ")::BIGINT AS n_redacted FROM documents WHERE text IS NOT NULL GROUP BY source", graph=False)
 def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("source", "text", identity.redact(F.col("text")).alias("clean"))
     return texts.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.col("clean") != F.col("text")).alias("n_redacted"))

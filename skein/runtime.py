@@ -63,7 +63,7 @@ def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
     Where the setting is missing, a local session gets a temporary folder of
-    this machine; a cluster uses its warehouse, which it shares by definition.
+    this machine; a cluster has to name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -71,7 +71,7 @@ def shared_root(spark: SparkSession) -> str:
             root = tempfile.mkdtemp(prefix="skein-")
             spark.sparkContext.setCheckpointDir(root)
         else:
-            root = spark.conf.get("spark.sql.warehouse.dir")
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

@@ -164,10 +164,19 @@ def test_predicates(spark):
 
 
 def test_triage_precedence(spark):
-    data = [("mock.getattr", "calls", None), ("app.fastapi.get", "calls", None), ("db.execute", "calls", None), ("f", "calls", "partial"), ("getattr", "calls", None), ("f", "dynamic_call", None), (None, None, None)]
-    got = {r.category: r.n_calls for r in triage.triage_counts(spark.createDataFrame(data, "t string, k string, s string"), "t", "k", "s").collect()}
-    assert got == dict.fromkeys(triage.CATEGORIES, 1)
-    assert sum(r.n_calls for r in triage.triage_counts(spark.createDataFrame([], "t string, k string, s string"), "t", "k", "s").collect()) == 0
+    cases = [
+        ("mock.getattr", None, "", "{}", "mock_or_assertion"), ("click", None, "", "{}", "framework_magic"), ("on_click", None, "", "{}", "static_candidate"),
+        ("router.get", None, "", "{}", "framework_magic"), ("cache.get", None, "", "{}", "static_candidate"), ("client.get", None, "", None, "external_service_boundary"),
+        ("user_fixture", None, "", "{}", "framework_magic"), ("f", "receiver_type_unknown", "", "{}", "missing_type_context"),
+        ("f", None, "", '{"receiver_type_status": "Missing"}', "missing_type_context"), ("f", None, "a\\Generated\\b.py", "{}", "generated_or_reflection"),
+        ("setattr", None, None, "{}", "generated_or_reflection"), ("f", None, "", '{"callee_binding_kind": "parameter"}', "true_dynamic_call"),
+        ("mock.x", "union_receiver", "", '{"semantic_reason": "ambiguous_union_receiver"}', "true_dynamic_call"), (None, None, None, None, "static_candidate"),
+    ]
+    df = spark.createDataFrame([c[:4] + (i,) for i, c in enumerate(cases)], "raw_expression string, failed_strategy string, path string, properties_json string, n int")
+    got = {r.n: r.category for r in triage.annotate(df).collect()}
+    assert [(cases[i][0], got[i]) for i in range(len(cases))] == [(c[0], c[4]) for c in cases]
+    counts = {r.category: r.n_calls for r in triage.triage_counts(df.limit(0)).collect()}
+    assert counts == dict.fromkeys(triage.CATEGORIES, 0)
 
 
 # identities
@@ -188,7 +197,7 @@ def test_identity_functions(spark):
     urls = spark.createDataFrame([("//a//b/",), ("/",), (None,), ("",)], "u string").select(identity.canonical_url_path(F.col("u"))).collect()
     assert [r[0] for r in urls] == ["/a/b", "/", "/", "/"]
     secret = spark.createDataFrame([("api_key=abc123 at https://me:pw@host/x in /home/joe/y Bearer abc.def",), (None,)], "t string").select(identity.redact(F.col("t"))).collect()
-    assert secret[0][0] == "[REDACTED] at https://[REDACTED]@host/x in ~/y [REDACTED]" and secret[1][0] is None
+    assert secret[0][0] == "[secret] at https://[secret]@host/x in ~/y Bearer abc.def" and secret[1][0] is None  # too short for a token
 
 
 # intervals
