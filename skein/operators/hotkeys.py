@@ -58,13 +58,14 @@ def scatter(entries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.n
     return np.bincount(codes[order][new], minlength=len(words))
 
 
-def dense_key_counts(df: DataFrame, keys: list[str], id_col: str, split_rows: int = 250_000) -> DataFrame:
+def dense_key_counts(df: DataFrame, keys: list[str], id_col: str, split_rows: int | None = None) -> DataFrame:
     """Distinct ids of each key: columns ``keys`` and n_ids.
 
     A null is a key value like any other; rows with a null id count nothing,
     though their key comes out, with 0 if it has no other. Repeated rows count
     once. An empty table gives no rows. ``split_rows``: rows of a split, which
-    bounds what a task holds. Keys, and ids that are no integers, travel as 128
+    bounds what a task holds; unless given, the table makes some thousand
+    splits of 50,000 to two million rows. Keys, and ids that are no integers, travel as 128
     bits of hash.
     """
     spark = df.sparkSession
@@ -82,10 +83,10 @@ def dense_key_counts(df: DataFrame, keys: list[str], id_col: str, split_rows: in
     ).withColumn("slice", F.pmod("h1", F.lit(SLICES)).cast("int"))
     # As many rows as there are slices, whatever the table holds.
     sizes = {r["slice"]: r["n"] for r in keyed.groupBy("slice").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}
-    plan = layout(sizes, split_rows)
+    plan = layout(sizes, split_rows or min(max(sum(sizes.values()) // 4096, 50_000), 2_000_000))
     most = max((s for _, _, s in plan), default=1)
     n_splits = sum({b: s for _, b, s in plan}.values())
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_splits)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * n_splits)  # few splits share a task by chance
     blocks = F.broadcast(spark.createDataFrame(plan, "slice int, block int, splits int"))  # at most SLICES rows
 
     dictionary = keyed.select(*named, "h1", "h2", "slice").distinct().join(blocks, "slice")
