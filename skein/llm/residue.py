@@ -466,19 +466,23 @@ def explain(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     whole = doubts.join(shown, ["form", "key"], "left_semi").select("doc_id", "form")
     # Templates with open places against the units that begin or end like them.
     wanted = found.where("kind = 'doubt' AND place >= 0").select("key", F.explode("anchors").alias("anchor")).select("key", F.lower("anchor").alias("anchor")).distinct()
-    wanted = stage.put(wanted, "templates")
+    # The longest word of a template; a plain text without it needs no look.
+    words = F.transform(F.filter(F.split("key", f"[ {GAP}{TAIL}]"), lambda w: w.rlike("^[a-z]+$")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    wanted = stage.put(wanted.withColumn("probe", F.coalesce(F.try_element_at(F.array_sort(words), F.lit(-1))["w"], F.lit(""))), "templates")
     low = F.lower("key")
     ends = F.flatten(F.array(*[F.array(F.concat(F.lit(f"h{n}:"), F.substring(low, 1, n)), F.concat(F.lit(f"t{n}:"), F.right(low, F.lit(n)))) for n in _ANCHORS]))
     near = found.where("kind = 'unit'").select("key", "doc_id", F.explode(ends).alias("anchor"))
     held = wanted.limit(_FEW + 1).toPandas()
     if len(held) <= _FEW:
         by_anchor = {a: sorted(g) for a, g in held.groupby("anchor")["key"]}
-        near = near.join(F.broadcast(wanted.select("anchor").distinct()), "anchor", "left_semi")
+        probes = F.broadcast(wanted.select(F.col("anchor").alias("wanted"), "probe").distinct())
+        holds = (F.octet_length("key") != F.length("key")) | F.contains(low, F.col("probe"))
+        near = near.join(probes, (F.col("anchor") == F.col("wanted")) & holds, "left_semi")
         units = near.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("lo"), F.max(F.coalesce("doc_id", F.lit(-1))).alias("hi"))
         filled = units.mapInPandas(_aligner(by_anchor), _FILLS_DDL)
     else:
         units = near.groupBy("key", "anchor").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("lo"), F.max(F.coalesce("doc_id", F.lit(-1))).alias("hi"))
-        pairs = units.join(wanted.withColumnRenamed("key", "template"), "anchor").select("key", "template", "lo", "hi")
+        pairs = units.join(wanted.select(F.col("key").alias("template"), "anchor"), "anchor").select("key", "template", "lo", "hi")
         filled = pairs.mapInPandas(_align_pairs, _FILLS_DDL)
     real = F.col("filled") != "mark"
     proven = (
