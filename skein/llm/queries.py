@@ -51,6 +51,19 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir)[0])
 
 
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every plan: all documents in it, no container too full, no piece lost, none cut that fits."""
+    packed = _packed(spark, sf_dir)[0].withColumns({"size": F.col("piece_size").cast("bigint"), "upto": (F.col("piece_start") + F.col("piece_size")).cast("bigint")})
+    full = packed.groupBy("plan", "container").agg((F.sum("size") > F.max("capacity")).cast("bigint").alias("over"), F.max("capacity").alias("capacity"))
+    full = full.groupBy("plan").agg(F.sum("over").alias("n_overfull"), F.max("capacity").alias("most"))
+    docs = packed.groupBy("plan", "doc_id").agg(F.sum("size").alias("total"), F.max("upto").alias("upto"), F.count(F.lit(1)).alias("n"))
+    docs = docs.join(F.broadcast(full.select("plan", "most")), "plan")  # a row per plan
+    docs = docs.groupBy("plan").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("total") != F.col("upto")).alias("n_lost"), F.count_if((F.col("n") > 1) & (F.col("total") <= F.col("most"))).alias("n_cut")
+    )
+    return docs.join(full, "plan").select("plan", "n_docs", "n_overfull", "n_lost", "n_cut")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(_texts(spark, sf_dir), "doc_id", "text")
 
@@ -76,9 +89,14 @@ QUERIES = {
     "p8_totals": p8_totals,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
+    "p9_check": p9_check,
     "p10_found": p10_found,
     "p10_why": p10_why,
     "p10_clean": p10_clean,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p9_check": """
+SELECT plan, (SELECT count(DISTINCT doc_id) FROM documents)::BIGINT AS n_docs, 0::BIGINT AS n_overfull, 0::BIGINT AS n_lost, 0::BIGINT AS n_cut
+FROM (SELECT DISTINCT container_kind AS plan FROM container_sizes WHERE capacity_tokens > 0 UNION SELECT 'joint')""",
+}

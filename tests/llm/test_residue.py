@@ -1,6 +1,8 @@
 import pytest
 
-from skein.llm.residue import fold, inspect, residue
+from skein.llm import residue as operator
+from skein.llm import wording
+from skein.llm.residue import explain, fold, inspect, residue
 
 CASES = [
     "The build is done. Version {{ version }} was published on 2026-01-01.",
@@ -112,9 +114,32 @@ def test_sentences_about_code_are_no_case(spark):
     assert found(spark, told + told) == set()
 
 
-def test_slots_filled_with_plain_words(spark):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_slots_filled_with_plain_words(spark, monkeypatch, few):
+    monkeypatch.setattr(operator, "_FEW", few)
     good = ["Release notes by Ann are ready.", "Release notes by Ben Carter are ready.", "Dear Ann, your copy of Dune is waiting.", "Dear Ben, your copy of Emma is waiting."]
     bad = ["Release notes by {author} are ready.", "Release notes by undefined are ready.", "Release notes by  are ready.", "Release notes by n/a are ready."]
     bad += ["Dear  , your copy of  is waiting."]
     lone = ["Only here stands  nothing at all today.", "The value of that field is none of ours."]
     assert found(spark, good + bad + lone) == {4, 5, 6, 7, 8}
+
+
+def test_three_blanks_at_once_and_long_units(spark):
+    told = "The committee of the northern harbour has read the report on {} by {} of {} and agrees with each of its many findings, whatever the weather on that day and however long the reading of it took"
+    texts = [told.format("tides", "Ann", "Hull"), told.format("winds", "Ben", "York"), told.format("{topic}", "undefined", " ")]
+    assert found(spark, texts) == {2}
+
+
+def test_reasons(spark):
+    texts = ["Version {{a}} was out on Monday.", "Version 12 was out on Monday.", "Only here {{b}} stands.", "404 Not Found", "404 Not Found", "lorem ipsum dolor", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert sorted((r.doc_id, r.reason, r.aligned) for r in explain(df, "doc_id", "text").collect()) == [
+        (0, "mark", True), (2, "alone", False), (3, "page", True), (4, "page", True), (5, "alone", False),
+    ]
+
+
+@pytest.mark.parametrize("text", CASES)
+def test_no_pattern_matches_without_its_literals(text):
+    folded = fold(text)
+    for pattern, bit in ((wording._FILLER, wording.FILLER), (wording._ERROR, wording.ERROR), (wording._NOTICE, wording.NOTICE)):
+        assert not pattern.search(folded) or wording.bits(folded) & bit
