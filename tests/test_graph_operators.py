@@ -166,7 +166,7 @@ def test_predicates(spark):
 def test_triage_precedence(spark):
     cases = [
         ("mock.getattr", None, "", "{}", "mock_or_assertion"), ("click", None, "", "{}", "framework_magic"), ("on_click", None, "", "{}", "static_candidate"),
-        ("router.get", None, "", "{}", "framework_magic"), ("cache.get", None, "", "{}", "static_candidate"), ("client.get", None, "", None, "external_service_boundary"),
+        ("router.get", None, "", "{}", "framework_magic"), ("cache.get", None, "", "{}", "static_candidate"), ("redis.execute", None, "", None, "external_service_boundary"), ("client.get", None, "", "{}", "framework_magic"),
         ("user_fixture", None, "", "{}", "framework_magic"), ("f", "receiver_type_unknown", "", "{}", "missing_type_context"),
         ("f", None, "", '{"receiver_type_status": "Missing"}', "missing_type_context"), ("f", None, "a\\Generated\\b.py", "{}", "generated_or_reflection"),
         ("setattr", None, None, "{}", "generated_or_reflection"), ("f", None, "", '{"callee_binding_kind": "parameter"}', "true_dynamic_call"),
