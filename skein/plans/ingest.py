@@ -36,10 +36,10 @@ _EVIDENCE = """v AS (SELECT DISTINCT source, target, kind, x.kind AS how, x.path
 
 
 @query(_EVIDENCE + """,
-ev AS (SELECT DISTINCT CASE kind WHEN 'calls' THEN 'call' WHEN 'reads' THEN 'read' ELSE kind END AS kind, regexp_replace(source, '^[a-z_]+:', '') AS source, target, path, line
+ev AS MATERIALIZED (SELECT DISTINCT CASE kind WHEN 'calls' THEN 'call' WHEN 'reads' THEN 'read' ELSE kind END AS kind, regexp_replace(source, '^[a-z_]+:', '') AS source, target, path, line
        FROM v WHERE how = 'runtime_trace'),
 k AS (SELECT id AS k, 0 AS r, id FROM n UNION ALL SELECT qualname, 1, id FROM n UNION ALL SELECT regexp_replace(id, '^[a-z_]+:', ''), 2, id FROM n),
-b AS MATERIALIZED (SELECT k, arg_min(id, (r, id)) AS id FROM k WHERE k IS NOT NULL GROUP BY k)
+b AS MATERIALIZED (SELECT k, id FROM k WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY k ORDER BY r, id) = 1)
 SELECT s.id AS source, t.id AS target, CASE ev.kind WHEN 'call' THEN 'calls' WHEN 'read' THEN 'reads' ELSE ev.kind END AS kind, 'runtime-only' AS confidence, count(*)::BIGINT AS n_events
 FROM ev JOIN b s ON s.k = ev.source JOIN b t ON t.k = ev.target WHERE s.id <> t.id GROUP BY ALL""")
 def trace_import(spark: SparkSession, sf_dir: str) -> DataFrame:
